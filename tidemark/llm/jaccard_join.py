@@ -274,6 +274,17 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return tables.written(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
 
 
+def _asked(percent: int) -> str:
+    """SQL for the prefix tokens that a pair with enough overlap shares at least.
+
+    Of the two prefixes, the one that ends first in the global order shares all
+    it has in common with the other set inside the other's prefix; beyond it
+    lie at most the rest of its own set.
+    """
+    rest = [f"(size_{side} * {percent} + 99) div 100 - match_{side}" for side in "xy"]
+    return f"({percent} * (size_x + size_y) + {99 + percent}) div {100 + percent} - greatest({rest[0]}, {rest[1]})"
+
+
 def links(docs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of nodes linked with another node; `prints` is a written fingerprints()."""
     spark = docs.sparkSession
@@ -299,8 +310,8 @@ def links(docs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFra
             & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")),
         )
         .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.count("*").alias("n"), F.min(F.least("x.match", "y.match")).alias("asked"))
-        .filter("n >= asked")
+        .agg(F.count("*").alias("n"), *[F.first(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("size", "match")])
+        .filter(f"n >= least(match_x, match_y) and n >= {_asked(percent)}")
     )
     rest = tables.written(rest.select("a", "b"), "rest")
     second = verified(rest, docs, percent)
