@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from tidemark.llm import tables, textops
-from tidemark.llm.tables import components
+from tidemark.llm.tables import components, roots
 
 PERCENT = 75
 MAX_MATCH = 4
@@ -296,7 +296,7 @@ def links(docs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFra
     near = lists.filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
     best = near.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
     first = verified(best.select(F.col("node").alias("a"), F.col("centre").alias("b")), docs, percent)
-    known = tables.written(components(first), "known")
+    known = tables.written(roots(first.select(F.col("a").alias("node"), F.col("b").alias("up"))), "known")
 
     placed = lists.select("token", "node", "size", "match").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
@@ -316,8 +316,11 @@ def links(docs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFra
     rest = tables.written(rest.select("a", "b"), "rest")
     second = verified(rest, docs, percent)
     tables.drop(rest)
-    star = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(star.unionByName(second))
+    for end in "ab":
+        second = second.join(known.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = tables.written(components(second), "joined")
+    placed = known.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
+    return placed.select("node", F.coalesce("to", "component").alias("component")).unionByName(joined.join(known, "node", "left_anti"))
 
 
 def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

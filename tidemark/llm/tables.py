@@ -86,6 +86,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest (node, up) with one parent a node: pointer doubling.
+
+    Every round halves the depths with one join over the nodes that have a
+    parent; a row for each root is part of the result.
+    """
+    now = written(parents, "up")
+    while True:
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("higher"))
+        step = written(now.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), "up")
+        drop(now)
+        now = step.select("node", "up")
+        now._tidemark_path = step._tidemark_path
+        if not step.filter("moved").limit(1).count():
+            break
+    return now.withColumnRenamed("up", "component").unionByName(
+        now.select(F.col("up").alias("node"), F.col("up").alias("component")).distinct()
+    )
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count("*").alias("n"),
