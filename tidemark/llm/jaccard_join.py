@@ -80,7 +80,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
         def flush():
             at = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(at >> low_bits, np.arange((1 << RANGE_BITS) + 1))
+            cuts = np.searchsorted(at, np.arange(1 << RANGE_BITS, dtype=np.uint32) << low_bits).tolist() + [len(at)]
             low = (at & ((1 << low_bits) - 1)).astype(np.uint16)
             keep = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
             return pa.RecordBatch.from_arrays(
@@ -92,9 +92,9 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
             for _, found in textops.shingle_sets(batch.column("text")):
                 if len(found) and (key := textops.set_key(found)) not in seen:
                     seen.add(key)
-                    held.append((found >> _U(64 - CELL_BITS)).astype(np.int64))
+                    held.append((found >> _U(64 - CELL_BITS)).astype(np.uint32))
                     count += len(found)
-                    if count > 8_000_000:
+                    if count > 2_000_000:
                         yield flush()
                         held, count, seen = [], 0, set()
         if count:
@@ -177,7 +177,7 @@ def postings(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
                 rows["token"], rows["node"], rows["size"], rows["match"] = tokens[:length], key, len(found), match
                 held.append(rows)
                 count += length
-                if count > 1_500_000:
+                if count > 500_000:
                     yield flush()
                     held, count, seen = [], 0, set()
         if count:
