@@ -5,8 +5,9 @@ similarity reaches the threshold (100 * intersection >= 75 * union). Exact:
 every pass covers all rows, nothing is capped, every link found is verified on
 whole sets and no link between different classes is missed.
 
-1. `fingerprints`: each document's set size and 64-bit set key ("node").
-   Documents with equal sets share a node, so copies never meet as pairs.
+1. `scan`: each document's set size and 64-bit set key ("node"), and the cells
+   its shingles fall in. Documents with equal sets share a node, so copies never
+   meet as pairs.
 2. `frequency_levels`: how often each shingle occurs, as 2**26 four-bit levels
    (32 MB at any input size). It only orders shingles, rare first; any order
    gives the same links.
@@ -48,58 +49,61 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node); node is null for an empty set."""
+_SCAN = "doc_id long, n_shingles long, node long, part int, cells binary"
 
-    def run(batches):
-        for batch in batches:
-            size, node = [0] * len(batch), [None] * len(batch)
-            for row, found in textops.shingle_sets(batch.column("text")):
-                size[row] = len(found)
-                node[row] = textops.set_key(found) if len(found) else None
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64())],
-                ["doc_id", "n_shingles", "node"],
-            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+def scan(docs: DataFrame) -> DataFrame:
+    """What one pass over the texts gathers, in two kinds of rows.
 
-
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """Four-bit levels, two a byte, of how many documents have a shingle of each cell.
-
-    Level = floor(log2(1 + count)), 15 at most; a cell is the top CELL_BITS of a
-    shingle's hash. Copies within a task count once. Every task sends two bytes
-    for each distinct cell it met; ranges of cells are summed as streams, so the
-    memory of a task is its ranges' counters, whatever the input's size.
+    part null: doc_id, n_shingles and node (null for an empty set) of a document.
+    Else: the lower bits, two bytes each, of the cells in one range that
+    shingles of the task's documents fall in; copies within a task count once.
     """
     low_bits = CELL_BITS - RANGE_BITS
 
-    def cells(batches):
+    def run(batches):
         held, count, seen = [], 0, set()
 
         def flush():
             at = np.sort(np.concatenate(held))
             cuts = np.searchsorted(at, np.arange(1 << RANGE_BITS, dtype=np.uint32) << low_bits).tolist() + [len(at)]
             low = (at & ((1 << low_bits) - 1)).astype(np.uint16)
-            keep = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keep, pa.int32()), pa.array([low[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary())],
-                ["part", "cells"],
-            )
+            parts = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
+            blobs = [low[cuts[i] : cuts[i + 1]].tobytes() for i in parts]
+            none = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
 
+        names = ["doc_id", "n_shingles", "node", "part", "cells"]
         for batch in batches:
-            for _, found in textops.shingle_sets(batch.column("text")):
-                if len(found) and (key := textops.set_key(found)) not in seen:
-                    seen.add(key)
+            size, node = [0] * len(batch), [None] * len(batch)
+            for row, found in textops.shingle_sets(batch.column("text")):
+                if not len(found):
+                    continue
+                size[row], node[row] = len(found), textops.set_key(found)
+                if node[row] not in seen:
+                    seen.add(node[row])
                     held.append((found >> _U(64 - CELL_BITS)).astype(np.uint32))
                     count += len(found)
                     if count > 2_000_000:
                         yield flush()
                         held, count, seen = [], 0, set()
+            ids = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*ids, pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], names)
         if count:
             yield flush()
 
+    return docs.select("doc_id", "text").mapInArrow(run, _SCAN)
+
+
+def frequency_levels(scanned: DataFrame) -> np.ndarray:
+    """Four-bit levels, two a byte, of how many documents have a shingle of each cell.
+
+    Level = floor(log2(1 + count)), 15 at most; a cell is the top CELL_BITS of a
+    shingle's hash. Ranges of cells are summed as streams, so the memory of a
+    task is its ranges' counters, whatever the input's size.
+    """
+    low_bits = CELL_BITS - RANGE_BITS
+
     def levels(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -112,12 +116,11 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
                 [pa.array([part], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["part", "cells"]
             )
 
-    schema = "part int, cells binary"
-    parts = docs.select("text").mapInArrow(cells, schema)
-    tasks = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = scanned.filter("part is not null").select("part", "cells")
+    tasks = max(64, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(1 << (CELL_BITS - 1), np.uint8)
     width = 1 << (low_bits - 1)
-    for row in parts.repartition(tasks, "part").mapInArrow(levels, schema).toLocalIterator():
+    for row in parts.repartition(tasks, "part").mapInArrow(levels, "part int, cells binary").toLocalIterator():
         out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["cells"], np.uint8)
     return out
 
@@ -285,11 +288,11 @@ def _asked(percent: int) -> str:
     return f"({percent} * (size_x + size_y) + {99 + percent}) div {100 + percent} - greatest({rest[0]}, {rest[1]})"
 
 
-def links(docs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of nodes linked with another node; `prints` is a written fingerprints()."""
+def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of nodes linked with another node; `scanned` is a written scan()."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(frequency_levels(docs))
-    total = prints.agg(F.sum("n_shingles")).first()[0] or 0
+    levels = spark.sparkContext.broadcast(frequency_levels(scanned))
+    total = scanned.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, int(total * (101 - percent) / 100 // 200_000))
     lists = tables.written(shared_lists(postings(docs, levels, percent, buckets)), "lists")
 
@@ -334,8 +337,9 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs are not read.
     """
     docs = docs.select("doc_id", "text")
-    prints = tables.written(fingerprints(docs), "prints")
-    found = links(docs, prints, percent)
+    scanned = tables.written(scan(docs), "scan")
+    prints = scanned.filter("part is null").select("doc_id", "n_shingles", "node")
+    found = links(docs, scanned, percent)
     placed = tables.written(
         prints.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed"
     )
