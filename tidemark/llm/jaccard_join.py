@@ -17,9 +17,10 @@ whole sets and no link between different classes is missed.
    over k), so a prefix that meets long lists is lengthened and then needs more
    shared tokens; a pair needs the smaller of its two k.
 4. Linking: within a token's list, nodes are first tried against one centre (the
-   list's least node), one best centre per node, and verified links give
-   components. Only pairs of nodes that are still in different components are
-   then enumerated, so a large group of near copies costs its size, not its
+   node whose tokens are shared most), one best centre per node, and verified links give
+   components. Only pairs of nodes that are still in different components, and
+   that each share enough of their prefix with other components, are then
+   enumerated, so a large group of near copies costs its size, not its
    square, while every possible link between components is still tested.
 """
 
@@ -145,7 +146,7 @@ def choose_prefix(tokens: np.ndarray, percent: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("match", "u1")])
+_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("match", "u1"), ("spread", "u1")])
 
 
 def postings(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
@@ -178,6 +179,7 @@ def postings(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
                 length, match = choose_prefix(tokens, percent)
                 rows = np.empty(length, _POSTING)
                 rows["token"], rows["node"], rows["size"], rows["match"] = tokens[:length], key, len(found), match
+                rows["spread"] = int(16 * (tokens[:length] >> _U(60)).mean())
                 held.append(rows)
                 count += length
                 if count > 500_000:
@@ -190,11 +192,15 @@ def postings(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
 
 
 def shared_lists(packed: DataFrame) -> DataFrame:
-    """(token, node, size, match, centre) of the lists with two nodes or more."""
+    """(token, node, size, match, centre) of the lists with two nodes or more.
+
+    The centre is the node whose prefix is most widely shared, ties to the
+    smallest: of a text and its edited copies, mostly the text itself.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in table.column("blob")])
-        rows = rows[np.lexsort((rows["node"], rows["token"]))]
+        rows = rows[np.lexsort((rows["node"], 255 - rows["spread"], rows["token"]))]
         same = (rows["token"][1:] == rows["token"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
         rows = rows[np.concatenate(([True], ~same))]
         first = np.concatenate(([True], rows["token"][1:] != rows["token"][:-1]))
@@ -303,17 +309,20 @@ def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFr
 
     placed = lists.select("token", "node", "size", "match").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_lists = placed.join(mixed, "token", "left_semi")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    lists_open = tables.written(placed.join(mixed, "token", "left_semi"), "open")
+    held = lists_open.groupBy("node").agg(F.count("*").alias("held"))
+    member = lists_open.join(held, "node")
+    columns = ("size", "match", "held")
+    x, y = (
+        member.select("token", F.col("node").alias(end), F.col("component").alias(f"component_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        for side, end in (("x", "a"), ("y", "b"))
+    )
+    fits = f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and least(held_x, held_y) >= {_asked(percent)}"
     rest = (
-        x.join(
-            y,
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.component") < F.col("y.component"))
-            & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")),
-        )
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.count("*").alias("n"), *[F.first(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("size", "match")])
+        x.join(y, "token")
+        .filter(f"component_x < component_y and {fits}")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"), *[F.first(f"{c}_{side}").alias(f"{c}_{side}") for side in "xy" for c in ("size", "match")])
         .filter(f"n >= least(match_x, match_y) and n >= {_asked(percent)}")
     )
     rest = tables.written(rest.select("a", "b"), "rest")
