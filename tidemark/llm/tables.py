@@ -29,15 +29,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The folder is deleted when the driver ends, or by drop().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark/{name}-{fresh()}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    forget_at_end(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes `path` when the driver ends."""
+    atexit.register(_delete, spark, path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later step reads."""
     for df in tables:

@@ -50,14 +50,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, bounds from 0) for runs of rows of about `size` bytes."""
+def chunks(column: pa.Array, size: int = CHUNK, most: int = 4096) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, bounds from 0) for runs of at most `most` rows of about `size` bytes."""
     if not len(column):
         return
     data, bounds = buffers(column)
     row, rows = 0, len(bounds) - 1
     while row < rows:
-        stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + size, "right")) - 1)
+        stop = min(row + most, max(row + 1, int(np.searchsorted(bounds, bounds[row] + size, "right")) - 1))
         yield row, data[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row]
         row = stop
 
