@@ -22,3 +22,19 @@ def get_session(name: str = "tidemark", master: str | None = None, shuffle_parti
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+_own = ""
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder of spark.checkpoint.dir, or in a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    global _own
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        _own = _own or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        folder = _own
+    return f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
