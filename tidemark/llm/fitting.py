@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from tidemark.llm import tables
+
 
 def fold(modulus: int) -> Column:
     """crc32(doc_id as text) mod `modulus`; a null doc_id counts as the text null."""
@@ -20,9 +22,10 @@ def sampled(rows: DataFrame, strata: str, most: int, seed: str) -> DataFrame:
     """At most about `most` rows of each stratum, by a hash of doc_id.
 
     A row stays if its hash, as a fraction, is below most / rows of its stratum.
-    The strata's counts are one row each, joined as such.
+    The strata's counts are one row each; they are sent to every task if they
+    are few enough, so no stratum's rows meet in one.
     """
-    share = rows.groupBy(strata).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("_share"))
+    share = tables.small(rows.groupBy(strata).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("_share")), "shares")
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(share, strata).filter(part < F.col("_share")).drop("_share")
 

@@ -77,6 +77,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
         .filter("bin_start <= quota and quota < bin_start + bin_size")
         .select("of", "quota", "bin", "bin_start")
     )
+    edge_bin = tables.small(edge_bin, "edges")
     within = (
         slim.join(edge_bin, F.col("of").eqNullSafe(F.col("source")) & (F.substring("order", 1, bins) == F.col("bin")))
         .groupBy("source", "quota", "bin_start", F.struct("order", "doc_id", "size").alias("edge"))
@@ -90,7 +91,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
         .filter(F.col("quota") < F.col("start") + total)
         .select(F.col("source").alias("of"), "edge", F.expr("(quota - start) div n").alias("each"))
     )
-    return goal.join(edge, F.col("of").eqNullSafe(F.col("source")), "left").drop("of")
+    return tables.small(goal.join(edge, F.col("of").eqNullSafe(F.col("source")), "left").drop("of"), "plan")
 
 
 def _extra() -> Column:

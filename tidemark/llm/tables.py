@@ -47,6 +47,12 @@ def forget_at_end(spark: SparkSession, path: str) -> None:
     atexit.register(_delete, spark, path)
 
 
+def small(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
+    """written(df), marked for broadcast if it has at most `rows` rows; beyond that joins shuffle it."""
+    out = written(df, name)
+    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later step reads."""
     for df in tables:
