@@ -17,11 +17,11 @@ whole sets and no link between different classes is missed.
    over k), so a prefix that meets long lists is lengthened and then needs more
    shared tokens; a pair needs the smaller of its two k.
 4. Linking: within a token's list, nodes are first tried against one centre (the
-   node whose tokens are shared most), one best centre per node, and verified links give
-   components. Only pairs of nodes that are still in different components, and
-   that each share enough of their prefix with other components, are then
-   enumerated, so a large group of near copies costs its size, not its
-   square, while every possible link between components is still tested.
+   node whose tokens are shared most), one best centre per node, and verified
+   links give components. Only pairs of components whose nodes share enough of
+   their prefixes are then tested, chunk against chunk, so a large group of near
+   copies costs its size, not its square, while every possible link between
+   components is still tested.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -283,15 +283,90 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return tables.written(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
 
 
-def _asked(percent: int) -> str:
-    """SQL for the prefix tokens that a pair with enough overlap shares at least.
+def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the pairs of components that could still be linked; `lists` has token, node, size, match, component.
 
-    Of the two prefixes, the one that ends first in the global order shares all
-    it has in common with the other set inside the other's prefix; beyond it
-    lie at most the rest of its own set.
+    A pair of nodes with enough overlap shares a certain number of prefix
+    tokens: of the two prefixes, the one that ends first in the global order has
+    all it shares inside the other's; beyond it lie at most the rest of its own
+    set. At the first token that the pair shares, each node must have that
+    many of its shared tokens left ("slack"). Within a list each component
+    enters once, by the bounds of its nodes.
     """
-    rest = [f"(size_{side} * {percent} + 99) div 100 - match_{side}" for side in "xy"]
-    return f"({percent} * (size_x + size_y) + {99 + percent}) div {100 + percent} - greatest({rest[0]}, {rest[1]})"
+    of_node = Window.partitionBy("node")
+    slack = F.count("*").over(of_node) - F.row_number().over(of_node.orderBy("token")) + 1
+    entries = (
+        lists.withColumn("slack", slack)
+        .groupBy("token", "component")
+        .agg(F.max("slack").alias("slack"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("match").alias("match"))
+    )
+    columns = ("component", "slack", "low", "high", "match")
+    x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
+    rest = [f"(high_{side} * {percent} + 99) div 100 - match_{side}" for side in "xy"]
+    asked = f"({percent} * (low_x + low_y) + {99 + percent}) div {100 + percent} - greatest({rest[0]}, {rest[1]})"
+    sizes = f"100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x"
+    fits = f"component_x < component_y and {sizes} and least(slack_x, slack_y) >= greatest(1, least(match_x, match_y), {asked})"
+    return x.join(y, "token").filter(fits).select(F.col("component_x").alias("x"), F.col("component_y").alias("y")).distinct()
+
+
+HOST_CHUNK, GUEST_CHUNK, GROUP_ROWS = 64, 256, 1500
+
+
+def _linked_components(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of components of which some nodes are linked, from candidate pairs (x, y).
+
+    The larger component of a pair is the host of the other's nodes. Host nodes
+    and all guests of a host meet chunk by chunk, with their whole texts, so a
+    large component is sent once for every GUEST_CHUNK guests, and a guest once
+    for every HOST_CHUNK host nodes, instead of a row for each pair of nodes.
+    """
+    nodes = lists.select("component", "node").distinct()
+    count = nodes.groupBy("component").agg(F.count("*").alias("n"))
+    sized = pairs.join(count.select(F.col("component").alias("x"), F.col("n").alias("nx")), "x").join(count.select(F.col("component").alias("y"), F.col("n").alias("ny")), "y")
+    first = F.col("nx") >= F.col("ny")
+    placed = sized.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("host"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("guest"), F.greatest("nx", "ny").alias("host_n"))
+    placed = tables.written(placed, "placed")
+    guests = placed.join(nodes.select(F.col("component").alias("guest"), "node"), "guest")
+    hosts = guests.groupBy("host").agg(F.max("host_n").alias("host_n"), F.count("*").alias("guest_n"))
+    hosts = hosts.select("host", F.ceil(F.col("host_n") / HOST_CHUNK).cast("int").alias("h_parts"), F.ceil(F.col("guest_n") / GUEST_CHUNK).cast("int").alias("g_parts"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = hosts.join(nodes.select(F.col("component").alias("host"), "node"), "host")
+    rows = (
+        own.select("host", F.lit(None).cast("long").alias("guest"), "node", part("h_parts").alias("h"), every("g_parts").alias("g"))
+        .unionByName(guests.join(hosts, "host").select("host", "guest", "node", part("g_parts").alias("g"), every("h_parts").alias("h")))
+    )
+    rows = tables.written(rows, "rows")
+    texts = _texts(docs, rows.select("node").distinct())
+    buckets = max(64, rows.count() // GROUP_ROWS)
+
+    def run(group: pa.Table) -> pa.Table:
+        coded = group.column("text").combine_chunks().dictionary_encode()
+        sets = dict(textops.shingle_sets(coded.dictionary))
+        text, guest = coded.indices.to_numpy(), group.column("guest").fill_null(0).to_numpy()
+        is_host = np.array(group.column("guest").is_null())
+        keys = np.stack([group.column(c).to_numpy() for c in ("host", "h", "g")])
+        order = np.lexsort(keys)
+        new = np.concatenate(([True], (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(0)))
+        found = set()
+        for cell in np.split(order, np.flatnonzero(new)[1:]):
+            host, asks = cell[is_host[cell]], cell[~is_host[cell]]
+            if not len(host) or not len(asks):
+                continue
+            size = np.array([len(sets[t]) for t in text[host]])
+            all_tokens = np.concatenate([sets[t] for t in text[host]])
+            starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+            for g in asks:
+                edge = (int(keys[0, g]), int(guest[g]))
+                mine = sets[text[g]]
+                at = np.minimum(np.searchsorted(mine, all_tokens), len(mine) - 1)
+                both = np.add.reduceat(mine[at] == all_tokens, starts, dtype=np.int64)
+                if (100 * both >= percent * (size + len(mine) - both)).any():
+                    found.add(edge)
+        return pa.table({"a": pa.array([e[0] for e in found], pa.int64()), "b": pa.array([e[1] for e in found], pa.int64())})
+
+    dealt = rows.join(texts, "node").withColumn("bucket", F.pmod(F.xxhash64("host", "h", "g"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -310,26 +385,7 @@ def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFr
     placed = lists.select("token", "node", "size", "match").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     lists_open = tables.written(placed.join(mixed, "token", "left_semi"), "open")
-    held = lists_open.groupBy("node").agg(F.count("*").alias("held"))
-    member = lists_open.join(held, "node")
-    columns = ("size", "match", "held")
-    x, y = (
-        member.select("token", F.col("node").alias(end), F.col("component").alias(f"component_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        for side, end in (("x", "a"), ("y", "b"))
-    )
-    fits = f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and least(held_x, held_y) >= {_asked(percent)}"
-    rest = (
-        x.join(y, "token")
-        .filter(f"component_x < component_y and {fits}")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"), *[F.first(f"{c}_{side}").alias(f"{c}_{side}") for side in "xy" for c in ("size", "match")])
-        .filter(f"n >= least(match_x, match_y) and n >= {_asked(percent)}")
-    )
-    rest = tables.written(rest.select("a", "b"), "rest")
-    second = verified(rest, docs, percent)
-    tables.drop(rest)
-    for end in "ab":
-        second = second.join(known.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    second = _linked_components(_open_pairs(lists_open, percent), lists_open, docs, percent)
     joined = tables.written(components(second), "joined")
     placed = known.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
     return placed.select("node", F.coalesce("to", "component").alias("component")).unionByName(joined.join(known, "node", "left_anti"))
