@@ -54,8 +54,9 @@ def features_of(texts: DataFrame, keep: list[str], features: Callable[[pa.Array]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema.fields[:-1]], pa.array([r.tobytes() for r in x], pa.binary())], schema.names)
 
     got = texts.select(*schema.names[:-1], "text").mapInArrow(run, schema).toArrow()
-    blobs = got.column("_x").to_pylist()
-    return got.drop_columns("_x"), np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1) if blobs else np.zeros((0, 0), np.float32)
+    parts = [np.frombuffer(value.as_buffer(), np.float32) for value in got.column("_x")]
+    x = np.stack(parts) if parts else np.zeros((0, 0), np.float32)
+    return got.drop_columns("_x"), x
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], column: str = "score") -> DataFrame:

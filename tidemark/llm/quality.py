@@ -92,18 +92,23 @@ class Model:
 
 def fit_rows(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
     """Weights (bias last) of least non-negative risk under the logistic loss."""
-    p, u = (np.hstack([x.astype(np.float64), np.ones((len(x), 1))]) for x in (positive, unlabelled))
-    decay = np.full(p.shape[1], DECAY)
-    decay[-1] = 0
+    p, u = (np.asarray(x, np.float32) for x in (positive, unlabelled))
+    size = p.shape[1]
+
+    def mean(x, v):
+        # products only, so no table of the sample's size is made in a step
+        v = v.astype(np.float32)
+        return np.append(v @ x, v.sum()).astype(np.float64) / len(x)
 
     def gradient(w):
-        fp, fu = p @ w, u @ w
-        up = -prior * (p * fitting.logistic(-fp)[:, None]).mean(0)
-        negative = (u * fitting.logistic(fu)[:, None]).mean(0) - prior * (p * fitting.logistic(fp)[:, None]).mean(0)
+        weights = w[:-1].astype(np.float32)
+        fp, fu = (x @ weights + np.float32(w[-1]) for x in (p, u))
+        up = -prior * mean(p, fitting.logistic(-fp))
+        negative = mean(u, fitting.logistic(fu)) - prior * mean(p, fitting.logistic(fp))
         risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        return (up + negative if risk >= 0 else -negative) + decay * w
+        return (up + negative if risk >= 0 else -negative) + np.append(DECAY * w[:-1], 0.0)
 
-    return fitting.adam(np.zeros(p.shape[1]), gradient, STEPS, RATE)
+    return fitting.adam(np.zeros(size + 1), gradient, STEPS, RATE)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
@@ -130,10 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     kind = np.array(got.column("kind").to_pylist())
     ids = np.array([v if v is not None else -1 for v in got.column("doc_id").to_pylist()])
     order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(kind[order], kind="stable")]  # positives, then unlabelled
     kind, x = kind[order], x[order]
+    first = int((kind == "p").sum())
     if not (kind == "u").any() or not (kind == "p").any():
         return Model(np.append(np.zeros(CLASSES * CLASSES + EXTRA), np.log(prior / (1 - prior))), prior)
-    return Model(fit_rows(x[kind == "p"], x[kind == "u"], prior), prior)
+    return Model(fit_rows(x[:first], x[first:], prior), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
