@@ -14,7 +14,9 @@ border's normal is about r / sqrt(dimensions), and lists are probed up to
 PROBE_SIGMAS of that. Pairs in different lists are looked for once, from the side
 with the higher list number.
 
-Lists longer than CHUNK are cut, and members and queries meet chunk by chunk, so
+Equal vectors of a label are counted before anything else and searched as one
+vector of that weight, so a group of copies costs what one vector does. Lists
+longer than CHUNK are cut, and members and queries meet chunk by chunk, so
 a group's memory is bounded whatever its list; each group sends a count for each
 vector and links to one vector for each local component, not its pairs.
 """
@@ -36,6 +38,8 @@ MOST_FITTED = 16_384
 MOST_LISTS, SUBSPACES, CODES, ROUNDS = 1024, 16, 256, 8
 PROBE_SIGMAS = 4.0
 CHUNK = 1024
+#: Vectors that more than one row in this many holds meet their rows by broadcast; fewer than this many can.
+HOT_PART = 10_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ def _units(blobs) -> np.ndarray:
 
 
 def prepared(embeddings: DataFrame) -> DataFrame:
-    """(uid, vec_id, label, dims, raw) of every row; raw is null where the vector or its label can't link."""
+    """(vec_id, label, dims, raw, digest) of every row; raw and digest are null where the vector or its label can't link."""
 
     def run(batches):
         for batch in batches:
@@ -128,7 +132,13 @@ def prepared(embeddings: DataFrame) -> DataFrame:
             )
 
     rows = embeddings.select("vec_id", "embedding", "label").mapInArrow(run, "vec_id long, label string, dims int, raw binary")
-    return rows.withColumn("uid", F.monotonically_increasing_id())
+    return rows.withColumn("digest", F.unhex(F.sha2("raw", 256)))
+
+
+def distinct(found: DataFrame) -> DataFrame:
+    """(label, dims, digest, raw, weight, least, uid): each different vector of a label, its rows and their smallest vec_id."""
+    once = found.filter("raw is not null").groupBy("label", "dims", "digest", "raw").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    return once.withColumn("uid", F.monotonically_increasing_id())
 
 
 def _coded(valid: DataFrame, models, reach: float) -> DataFrame:
@@ -143,17 +153,17 @@ def _coded(valid: DataFrame, models, reach: float) -> DataFrame:
                     near = models.value[dims].probes(unit, home, reach)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *[rows.column(c) for c in ("uid", "label", "dims", "raw")],
+                            *[rows.column(c) for c in ("uid", "label", "dims", "raw", "weight")],
                             pa.array(home, pa.int32()),
                             pa.array([c.tobytes() for c in codes], pa.binary()),
                             pa.array(error),
                             pa.array([np.flatnonzero(n).tolist() for n in near], pa.list_(pa.int32())),
                         ],
-                        ["uid", "label", "dims", "raw", "home", "codes", "error", "probes"],
+                        ["uid", "label", "dims", "raw", "weight", "home", "codes", "error", "probes"],
                     )
 
-    schema = "uid long, label string, dims int, raw binary, home int, codes binary, error double, probes array<int>"
-    return valid.select("uid", "label", "dims", "raw").mapInArrow(run, schema)
+    schema = "uid long, label string, dims int, raw binary, weight long, home int, codes binary, error double, probes array<int>"
+    return valid.select("uid", "label", "dims", "raw", "weight").mapInArrow(run, schema)
 
 
 def _searched(coded: DataFrame, models, cosine: float, reach: float) -> DataFrame:
@@ -165,7 +175,7 @@ def _searched(coded: DataFrame, models, cosine: float, reach: float) -> DataFram
     sizes = asking.groupBy(*key).agg(F.count("*").alias("q"), F.count_if(F.col("home") == F.col("list")).alias("m")).filter("m > 0")
     sizes = sizes.select(*key, cut("m").alias("m_parts"), cut("q").alias("q_parts"))
     dealt = lambda df, own, other: df.join(sizes, key).withColumn(f"{own}_part", F.pmod(F.xxhash64("uid"), F.col(f"{own}_parts")).cast("int")).withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
-    columns = ["uid", "raw", "home", "codes", "error", "member", *key, "m_part", "q_part"]
+    columns = ["uid", "raw", "weight", "home", "codes", "error", "member", *key, "m_part", "q_part"]
     both = (
         dealt(members, "m", "q").withColumn("member", F.lit(True)).select(*columns)
         .unionByName(dealt(asking, "q", "m").withColumn("member", F.lit(False)).withColumn("codes", F.lit(None).cast("binary")).select(*columns))
@@ -177,7 +187,7 @@ def _searched(coded: DataFrame, models, cosine: float, reach: float) -> DataFram
         if member.all() or not member.any():
             return none
         at, model = group.column("list")[0].as_py(), models.value[group.column("dims")[0].as_py()]
-        uid, home = group.column("uid").to_numpy(), group.column("home").to_numpy()
+        uid, home, weight = (group.column(c).to_numpy() for c in ("uid", "home", "weight"))
         unit = _units(group.column("raw").to_pylist())
         order = np.argsort(uid, kind="stable")
         mine, asks = order[member[order]], order[~member[order]]
@@ -199,8 +209,8 @@ def _searched(coded: DataFrame, models, cosine: float, reach: float) -> DataFram
         x, y = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
         if not len(x):
             return none
-        np.add.at(n, x, 1)
-        np.add.at(n, y, 1)
+        np.add.at(n, x, weight[y])
+        np.add.at(n, y, weight[x])
         # the same vector may be here as member and as query
         ids, place = np.unique(uid, return_inverse=True)
         root = _forest(len(ids), place[x], place[y])
@@ -238,30 +248,44 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     spark = embeddings.sparkSession
     reach = float(np.sqrt(2 - 2 * cosine))
-    rows = tables.written(prepared(embeddings), "vectors")
-    valid = rows.filter("raw is not null")
-    found = {}
-    for r in valid.groupBy("dims").agg(F.count("*").alias("n")).collect():
-        part = F.pmod(F.xxhash64(F.lit("fit"), "uid"), F.lit(1 << 30)) / float(1 << 30)
-        sample = valid.filter((F.col("dims") == r["dims"]) & (part < MOST_FITTED / r["n"])).orderBy("uid").select("raw").toArrow()
-        blobs = sample.column("raw").to_pylist() or [valid.filter(F.col("dims") == r["dims"]).first()["raw"]]
-        found[r["dims"]] = fit(_units(blobs), r["n"])
-    models = spark.sparkContext.broadcast(found)
+    found = prepared(embeddings)
+    rows = tables.written(found.select("vec_id", "label", "digest"), "vectors")
+    valid = tables.written(distinct(found), "distinct")
+    fitted, total = {}, 0
+    for r in valid.groupBy("dims").agg(F.count("*").alias("n"), F.sum("weight").alias("rows")).collect():
+        total += r["rows"]
+        part = F.pmod(F.xxhash64(F.lit("fit"), "digest"), F.lit(1 << 30)) / float(1 << 30)
+        of_size = valid.filter(F.col("dims") == r["dims"])
+        sample = of_size.filter(part < MOST_FITTED / r["n"]).orderBy("digest", "label").select("raw").toArrow()
+        blobs = sample.column("raw").to_pylist() or [of_size.orderBy("digest", "label").first()["raw"]]
+        fitted[r["dims"]] = fit(_units(blobs), r["n"])
+    models = spark.sparkContext.broadcast(fitted)
     coded = tables.written(_coded(valid, models, reach), "coded")
     counts = tables.written(_searched(coded, models, cosine, reach), "counts")
     together = tables.components(counts.filter("uid != up").select(F.col("uid").alias("a"), F.col("up").alias("b")))
-    n_links = counts.groupBy("uid").agg(F.sum("n").alias("n_links"))
+    others = counts.groupBy("uid").agg(F.sum("n").alias("others"))
     placed = (
-        rows.select("uid", "vec_id")
-        .join(n_links, "uid", "left")
+        valid.select("uid", "label", "digest", "weight", "least")
+        .join(others, "uid", "left")
         .join(together.withColumnRenamed("node", "uid"), "uid", "left")
         .withColumn("component", F.coalesce("component", "uid"))
     )
     placed = tables.written(placed, "placed")
-    least = placed.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    return placed.join(least, "component").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "component_id",
-        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    answer = placed.join(smallest, "component").select(
+        "label", "digest", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
     )
+    answer = tables.written(answer, "answer")
+    hot, key = F.col("weight") * HOT_PART > total, ["label", "digest"]
+    often = F.broadcast(answer.filter(hot))
+    linkable = rows.filter("digest is not null")
+    every = [
+        linkable.join(often, key),
+        linkable.join(often, key, "left_anti").join(answer.filter(~hot), key),
+        rows.filter("digest is null").withColumns({"n_links": F.lit(0), "component_id": F.col("vec_id")}),
+    ]
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    first, *more = [part.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept) for part in every]
+    for part in more:
+        first = first.unionByName(part)
+    return first
