@@ -30,6 +30,11 @@ def sampled(rows: DataFrame, strata: str, most: int, seed: str) -> DataFrame:
     return rows.join(share, strata).filter(part < F.col("_share")).drop("_share")
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys and the least text of the rows that share them, so a doc_id that many rows repeat enters a sample once."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -60,7 +65,8 @@ def features_of(texts: DataFrame, keep: list[str], features: Callable[[pa.Array]
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], column: str = "score") -> DataFrame:
-    """docs, all rows and columns, with score(text) as a double column."""
+    """docs, all rows and columns, with score(text) as a double column; a column of that name is replaced."""
+    docs = docs.drop(column)
     schema = StructType([*docs.schema.fields]).add(column, DoubleType())
 
     def run(batches):

@@ -79,7 +79,7 @@ def fit(rows: DataFrame, most: int = MOST_LEARNED) -> Model | None:
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return None
-    sample = fitting.sampled(known, "lang", max(1, most // len(languages)), "language")
+    sample = fitting.one_text_each(fitting.sampled(known, "lang", max(1, most // len(languages)), "language"), "doc_id", "lang")
     got, x = fitting.features_of(sample, ["doc_id", "lang"], trigram_features)
     label = np.array([languages.index(v) for v in got.column("lang").to_pylist()])
     order = np.lexsort((label, np.array([v if v is not None else -1 for v in got.column("doc_id").to_pylist()])))
@@ -103,11 +103,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score (0 to 1, the share of the best codeword) and ambiguous.
 
     `und` with score 0 where the text is null or holds no letter, or nothing was
-    learned. Other columns stay as they are; every row is scored on its own, so repeated rows
-    agree. With equal losses the first language in code point order is chosen.
+    learned. Other columns stay as they are, but those of the three names are replaced; every row is
+    scored on its own, so repeated rows agree. With equal losses the first language in code point order is chosen.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
 
     def run(batches):

@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     part = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     unlabelled = texts.filter(part < most_unlabelled / max(1, total)).withColumn("kind", F.lit("u"))
     trusted = texts.join(positive, "doc_id", "left_semi").withColumn("kind", F.lit("p"))
-    got, x = fitting.features_of(trusted.unionByName(unlabelled), ["doc_id", "kind"], style_features)
+    both = fitting.one_text_each(trusted.unionByName(unlabelled), "doc_id", "kind")
+    got, x = fitting.features_of(both, ["doc_id", "kind"], style_features)
     kind = np.array(got.column("kind").to_pylist())
     ids = np.array([v if v is not None else -1 for v in got.column("doc_id").to_pylist()])
     order = np.argsort(ids, kind="stable")
@@ -144,5 +145,5 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all rows and columns, with score (0 to 1). Null text scores as empty text; repeated rows score alike."""
+    """docs, all rows and columns, with score (0 to 1; a column score is replaced). Null text scores as empty text; repeated rows score alike."""
     return fitting.scored(docs, model.score)

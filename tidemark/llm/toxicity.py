@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED, penalty: f
                 out += [np.unique(words[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
 
-    texts = docs.select("doc_id", "text").join(sample, "doc_id")
+    texts = fitting.one_text_each(docs.select("doc_id", "text").join(sample, "doc_id"), "doc_id", "toxic")
     got = texts.mapInArrow(run, "doc_id long, toxic long, words binary" if dict(labels.dtypes)["toxic"] == "bigint" else "doc_id long, toxic int, words binary").toArrow()
     order = np.argsort(np.array(got.column("doc_id").to_pylist(), np.int64), kind="stable")
     toxic = np.array(got.column("toxic").to_pylist(), np.int64)[order]
@@ -162,5 +162,5 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED, penalty: f
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all rows and columns, with score (0 to 1). Null text scores as empty text; repeated rows score alike."""
+    """docs, all rows and columns, with score (0 to 1; a column score is replaced). Null text scores as empty text; repeated rows score alike."""
     return fitting.scored(docs, model.score)
