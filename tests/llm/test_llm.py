@@ -211,6 +211,15 @@ def test_embedding_links_equal_brute_force(spark):
     assert all(got[i].n_links <= len(links[i]) for i in links) and all(got[i].kept == (got[i].component_id == i) for i in links)
 
 
+def test_embedding_copies_count_as_links(spark):
+    rows = [(i, [1.0, 0.0], 0, "x") for i in range(40)] + [(50 + i, [1.0, 0.01], 0, "x") for i in range(3)] + [(60, [0.0, 1.0], 0, "x"), (None, [0.0, 1.0], 0, "x"), (61, [1.0, 0.0], 1, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, digest string")
+    got = embedding_dedup.near_copies(frame).collect()
+    want = [(i, 42, 0, i == 0) for i in [*range(40), 50, 51, 52]] + [(60, 1, 60, True), (None, 1, 60, False), (61, 0, 61, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert embedding_dedup.near_copies(frame.limit(0)).count() == 0
+
+
 def test_embedding_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(1500)
     noisy = table.select((F.col("vec_id") + 10_000).alias("vec_id"), F.transform("embedding", lambda x: (x + F.rand(4) * 0.02 - 0.01).cast("float")).alias("embedding"), "label")
@@ -244,6 +253,20 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontamination.leaks(frame, table.limit(0)).count() == 0 and decontamination.leaks(frame.limit(0), table).count() == 0
 
 
+def test_decontamination_query_equals_brute_force(spark):
+    words = lambda text: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    number: dict[str, int] = {}
+    coded = lambda text: np.array([number.setdefault(w, len(number)) for w in words(text)], np.uint64)
+    items = {r.item_id: coded(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        text = coded(r.text)
+        for i, item in items.items():
+            if len(item) >= 3 and np.isin(item, text).mean() >= 0.4 and decontamination.align(item, text)[0] >= 0.4 * 2 * len(item):
+                want.add((r.doc_id, i))
+    assert want and {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, SF).collect()} == want
+
+
 def test_alignment_equals_plain_dynamic_programming():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -271,6 +294,43 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     assert [(r.n_pre_tokens, r.n_tokens) for r in rows[:2]] == [(0, 0), (0, 0)] and rows[3].n_tokens == rows[4].n_tokens > 0
 
 
+def test_token_count_query_equals_plain_dynamic_programming(spark):
+    scores = token_counts.load_scores()
+    longest, known = max(map(len, scores)), {}
+
+    def plain(word):
+        if word not in known:
+            raw, best = word.encode(), [(0.0, 0)]
+            for end in range(1, len(raw) + 1):
+                best.append(max((best[s][0] + scores[raw[s:end]], best[s][1] - 1) for s in range(max(0, end - longest), end) if raw[s:end] in scores))
+            known[word] = -best[-1][1]
+        return known[word]
+
+    import regex
+
+    got = {r.doc_id: (r.n_pre_tokens, r.n_tokens) for r in queries.op6_token_counts(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words = regex.findall(token_counts.PRE_TOKEN, r.text or "")
+        assert got.pop(r.doc_id) == (len(words), sum(map(plain, words)))
+    assert not got
+
+
+def test_sharding_query_equals_brute_force(spark):
+    import xxhash
+
+    def draw(key, shard):
+        bits = xxhash.xxh64_intdigest(f"shard-{shard}", xxhash.xxh64_intdigest(str(key), 42)) >> 12
+        return -math.log((bits + 0.5) / 2**52)
+
+    least = lambda key, n: min(range(n), key=lambda s: draw(key, s))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op7_sharding(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.shard, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), least(r.doc_id, 40), least(r.doc_id, 41))
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -287,6 +347,17 @@ def test_language_held_out(spark, learned):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_scorers_replace_clashing_columns_and_learn_a_repeated_id_once(spark, learned):
+    docs, labels = learned
+    clash = docs_of(spark, EDGE).withColumns({c: F.lit("mine") for c in ("score", "lang_pred", "ambiguous", "kind", "_x", "_share")})
+    model = language_id.fit(docs.filter(fitting.fold(4) != 2))
+    for out in (language_id.identify(clash, model), quality.score(clash, quality.fit(docs, labels)), toxicity.score(clash, toxicity.fit(docs, labels))):
+        assert set(out.columns) >= {*clash.columns} and len(set(out.columns)) == len(out.columns)
+        assert len(out.filter("score between 0.0 and 1.0").collect()) == len(EDGE)
+    repeated = docs.unionByName(docs.filter("doc_id < 5").crossJoin(spark.range(300)).drop("id"))
+    assert fitting.one_text_each(repeated, "doc_id", "lang").count() == docs.count()
+
+
 def test_codewords_are_apart():
     for k in (1, 2, 3, 4, 6, 9, 40):
         code = language_id.codewords(k)
