@@ -173,7 +173,8 @@ def _searched(coded: DataFrame, models, cosine: float, reach: float) -> DataFram
     asking = coded.withColumn("list", F.explode(F.concat(F.array("home"), "probes")))
     cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(CHUNK))).cast("int")
     sizes = asking.groupBy(*key).agg(F.count("*").alias("q"), F.count_if(F.col("home") == F.col("list")).alias("m")).filter("m > 0")
-    sizes = sizes.select(*key, cut("m").alias("m_parts"), cut("q").alias("q_parts"))
+    # one row a list: sent to every task if few enough, so that a long list's vectors don't meet in one
+    sizes = tables.small(sizes.select(*key, cut("m").alias("m_parts"), cut("q").alias("q_parts")), "sizes")
     dealt = lambda df, own, other: df.join(sizes, key).withColumn(f"{own}_part", F.pmod(F.xxhash64("uid"), F.col(f"{own}_parts")).cast("int")).withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)))
     columns = ["uid", "raw", "weight", "home", "codes", "error", "member", *key, "m_part", "q_part"]
     both = (
