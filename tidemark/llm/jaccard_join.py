@@ -329,6 +329,8 @@ def _linked_components(pairs: DataFrame, lists: DataFrame, docs: DataFrame, perc
     guests = placed.join(nodes.select(F.col("component").alias("guest"), "node"), "guest")
     hosts = guests.groupBy("host").agg(F.max("host_n").alias("host_n"), F.count("*").alias("guest_n"))
     hosts = hosts.select("host", F.ceil(F.col("host_n") / HOST_CHUNK).cast("int").alias("h_parts"), F.ceil(F.col("guest_n") / GUEST_CHUNK).cast("int").alias("g_parts"))
+    # read from a table, so that both sides of the joins below are plain shuffles, whose skewed partitions adaptive execution splits
+    hosts = tables.written(hosts, "hosts")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = hosts.join(nodes.select(F.col("component").alias("host"), "node"), "host")
@@ -408,7 +410,8 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = tables.written(
         prints.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed"
     )
-    least = placed.filter("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # read from a table, so that adaptive execution can split a component that holds many rows
+    least = tables.written(placed.filter("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "component", "left").select(
         "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id")
     )
