@@ -253,6 +253,28 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontamination.leaks(frame, table.limit(0)).count() == 0 and decontamination.leaks(frame.limit(0), table).count() == 0
 
 
+def test_decontamination_finds_what_brute_force_alignment_finds(spark):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(400)] + ["the", "of"] * 60
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [text(rng.choice([3, 5, 15, 30, 45])).split() for _ in range(40)]
+    docs = []
+    for item in items:
+        half = len(item) // 2 + 1
+        edited = [rng.choice([["x"], [], [w, "y"]]) if rng.random() < 0.2 else [w] for w in item]
+        copies = [item, item[:half], item[-half:], sum(edited, []), [w if i % 3 else "z" for i, w in enumerate(item)], sum([[w, "q"] for w in item], []), [w for w in item if w != "the"]]
+        docs += [" ".join([text(40), *copy, text(40)]) for copy in copies]
+    number: dict[str, int] = {}
+    coded = lambda words: np.array([number.setdefault(w, len(number)) for w in words], np.uint64)
+    codes = [coded(x) for x in items]
+    want = set()
+    for d, doc in enumerate(docs):
+        words = coded(doc.split())
+        want |= {(d, i, decontamination.align(item, words)[0] / (2 * len(item))) for i, item in enumerate(codes) if decontamination.align(item, words)[0] >= 0.4 * 2 * len(item)}
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert len(want) > 200 and {(r.doc_id, r.item_id, r.score) for r in decontamination.leaks(docs_of(spark, docs), table).collect()} == want
+
+
 def test_decontamination_query_equals_brute_force(spark):
     words = lambda text: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     number: dict[str, int] = {}

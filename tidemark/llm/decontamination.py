@@ -2,12 +2,20 @@
 
 Words are runs of letters and digits, lower-cased. The benchmark is taken in
 blocks of bounded size, each sent to every task. One pass over the documents
-counts in how many of them each trigram of the block's items occurs; an item's
-seeds are the rarer half of its trigrams. A second pass looks the seeds up in
-every document; where they hit, the item is aligned locally with the stretch of
-the document around the hits, word by word, so paraphrased and edited copies
-score too. A document leaks an item if the score reaches a share of the
-item's own (2 for a match, -1 for a mismatch or gap).
+counts in how many of them each gram of the block's items occurs, a gram being
+two words next to each other or with one between. An item's seeds are the grams
+of its rarest places. A second pass looks the seeds up in every document; where
+they hit, the item is aligned locally with the stretch of the document around
+the hits, word by word, so paraphrased and edited copies score too. A document
+leaks an item if the score reaches a share of the item's own (2 for a match, -1
+for a mismatch or gap).
+
+The seeds lose no leak. An alignment of k matches and edits of cost e scores
+2k - e. Of the k - 1 steps from a match to the next, those of cost 0 or 1 have
+at most one word between on either side, so both sides share a gram there; the
+others cost 2 or more. With x steps of the first kind e is at least
+2(k - 1 - x), so a score of 2 * least * n needs x >= least * n - 1 places. Of
+the n - 1 places of an item, all but one less than so many are seeds: one hits.
 """
 
 from __future__ import annotations
@@ -21,8 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textops
 
-GRAM = 3
-SEED_SHARE, LEAST_SEEDS = 0.5, 6
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4
 #: Bound of a block of items: what one broadcast holds is at most about this many bytes of text.
@@ -33,25 +40,52 @@ BLOCK_BYTES = 8 << 20
 class Block:
     ids: list[int]
     words: list[np.ndarray]
+    #: Of each item its grams and the place of each one's first word.
     grams: list[np.ndarray]
+    places: list[np.ndarray]
+
+
+def _grams(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word's index of each two words of a row that are neighbours or have one word between."""
+    at = [np.flatnonzero(rows[:-far] == rows[far:]) for far in (1, 2)]
+    return np.concatenate([words[a] * textops._K + words[a + far] for far, a in zip((1, 2), at)]), np.concatenate(at)
+
+
+class Lookup:
+    """Places of hashes in a sorted array; most of those that aren't in it are ruled out by their first bits."""
+
+    def __init__(self, wanted: np.ndarray):
+        bits = min(24, max(16, len(wanted).bit_length() + 6))
+        self.wanted, self.shift = wanted, np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[wanted >> self.shift] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hashes are wanted, first place of each of them)."""
+        found = np.flatnonzero(self.some[hashes >> self.shift])
+        at = np.minimum(np.searchsorted(self.wanted, hashes[found]), len(self.wanted) - 1)
+        hit = self.wanted[at] == hashes[found]
+        return found[hit], at[hit]
 
 
 def _block(items: pa.Table) -> Block:
-    block = Block([], [], [])
+    block = Block([], [], [], [])
     ids = items.column("item_id").to_pylist()
     for first, data, bounds in textops.chunks(items.column("text")):
         rows, words = textops.letter_words(data, bounds)
         cuts = np.searchsorted(rows, np.arange(len(bounds)))
         for row, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b - a >= GRAM:
+            if b - a >= LEAST_WORDS:
+                grams, places = _grams(np.zeros(b - a, np.int64), words[a:b])
                 block.ids.append(ids[first + row])
                 block.words.append(words[a:b].copy())
-                block.grams.append(textops.grams(np.zeros(b - a, np.int64), words[a:b], GRAM)[1])
+                block.grams.append(grams)
+                block.places.append(places)
     return block
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
-    """The benchmark's items (item_id, text) in blocks of about `most` bytes; null texts and items under GRAM words are left out."""
+    """The benchmark's items (item_id, text) in blocks of about `most` bytes; null texts and items under LEAST_WORDS words are left out."""
     items = benchmark.filter("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // most))
@@ -62,21 +96,21 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
 
 
 def gram_frequencies(docs: DataFrame, block: Block) -> dict[int, int]:
-    """In how many rows of docs each trigram of the block occurs (those that do)."""
+    """In how many rows of docs each gram of the block occurs (those that do)."""
     wanted = np.unique(np.concatenate(block.grams)) if block.grams else np.zeros(0, np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        wanted = shared.value
-        total = np.zeros(len(wanted), np.int64)
+        known = Lookup(shared.value)
+        total = np.zeros(len(known.wanted), np.int64)
         for batch in batches:
             for _, data, bounds in textops.chunks(batch.column("text")):
                 rows, words = textops.letter_words(data, bounds)
-                of, hashes, _ = textops.grams(rows, words, GRAM)
-                at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                hit = wanted[at] == hashes
-                pair = np.unique(of[hit] * len(wanted) + at[hit])
-                total += np.bincount(pair % len(wanted), minlength=len(wanted))
+                hashes, start = _grams(rows, words)
+                found, at = known.find(hashes)
+                pair = np.unique(rows[start[found]] * len(total) + at)
+                seen, times = np.unique(pair % len(total), return_counts=True)
+                total[seen] += times
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["at", "n"])
 
@@ -97,15 +131,19 @@ class Index:
     offset: np.ndarray
 
 
-def index(block: Block, frequency: dict[int, int]) -> Index:
+def index(block: Block, frequency: dict[int, int], least: float = LEAST_SCORE) -> Index:
     seeds, item, offset = [], [], []
-    for i, grams in enumerate(block.grams):
-        seen = np.array([frequency.get(int(g), 0) for g in grams])
-        most = max(LEAST_SEEDS, int(np.ceil(SEED_SHARE * len(grams))))
-        chosen = np.lexsort((np.arange(len(grams)), seen))[:most]
+    for i, (grams, places) in enumerate(zip(block.grams, block.places)):
+        n = len(block.words[i])
+        seen = np.bincount(places, [frequency.get(int(g), 0) for g in grams], n - 1)
+        # the rounding of least * n may only add a seed
+        shared = max(1, int(np.ceil(least * n - 1 - 1e-9)))
+        rarest = np.zeros(n - 1, bool)
+        rarest[np.argsort(seen, kind="stable")[: n - shared]] = True
+        chosen = rarest[places]
         seeds.append(grams[chosen])
-        item.append(np.full(len(chosen), i))
-        offset.append(chosen)
+        item.append(np.full(chosen.sum(), i))
+        offset.append(places[chosen])
     order = np.argsort(np.concatenate(seeds), kind="stable")
     return Index(block.ids, block.words, *(np.concatenate(x)[order] for x in (seeds, item, offset)))
 
@@ -130,17 +168,17 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def hits(column: pa.Array, known: Index, least: float = LEAST_SCORE):
     """(row, item number, score 0 to 1, first and last word) of the leaks in each text; of an item its best stretch."""
+    lookup = Lookup(known.seeds)
     for first, data, bounds in textops.chunks(column):
         rows, words = textops.letter_words(data, bounds)
-        of, hashes, at = textops.grams(rows, words, GRAM)
-        lo = np.searchsorted(known.seeds, hashes)
-        found = np.flatnonzero(known.seeds[np.minimum(lo, len(known.seeds) - 1)] == hashes)
+        hashes, at = _grams(rows, words)
+        found, lo = lookup.find(hashes)
         if not len(found):
             continue
-        many = np.searchsorted(known.seeds, hashes[found], "right") - lo[found]
+        many = np.searchsorted(known.seeds, hashes[found], "right") - lo
         gram = np.repeat(found, many)
-        seed = np.repeat(lo[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        row, item, start = of[gram], known.item[seed], at[gram] - known.offset[seed]
+        seed = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, item, start = rows[at[gram]], known.item[seed], at[gram] - known.offset[seed]
         order = np.lexsort((start, item, row))
         row, item, start = row[order], item[order], start[order]
         size = np.array([len(known.words[i]) for i in item])
@@ -152,7 +190,8 @@ def hits(column: pa.Array, known: Index, least: float = LEAST_SCORE):
         for a, b in zip(cuts, cuts[1:]):
             r, i = int(row[a]), int(item[a])
             query = known.words[i]
-            pad = len(query) // 2 + 2
+            # edits of a leak cost no more than its matches score above the least
+            pad = int(np.ceil(MATCH * len(query) * (1 - least))) + 1
             low = max(int(row_start[r]), int(start[a]) - pad)
             high = min(int(row_start[r + 1]), int(start[b - 1]) + len(query) + pad)
             stretch, full = words[low:high], MATCH * len(query)
@@ -175,7 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     """
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for known in _indexes(docs, benchmark):
+    for known in _indexes(docs, benchmark, least):
 
         def run(batches, shared=known):
             for batch in batches:
@@ -196,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs, all columns, that leak no item."""
-    for known in _indexes(docs, benchmark):
+    for known in _indexes(docs, benchmark, least):
 
         def run(batches, shared=known):
             for batch in batches:
@@ -209,7 +248,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     return docs
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame) -> list:
+def _indexes(docs: DataFrame, benchmark: DataFrame, least: float) -> list:
     """The seed index of each block, as broadcasts."""
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(index(block, gram_frequencies(docs, block))) for block in blocks(benchmark) if block.ids]
+    return [context.broadcast(index(block, gram_frequencies(docs, block), least)) for block in blocks(benchmark) if block.ids]
