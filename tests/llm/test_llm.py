@@ -7,6 +7,7 @@ import math
 import random
 import re
 import sys
+import unicodedata
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -275,6 +276,15 @@ def test_decontamination_finds_what_brute_force_alignment_finds(spark):
     assert len(want) > 200 and {(r.doc_id, r.item_id, r.score) for r in decontamination.leaks(docs_of(spark, docs), table).collect()} == want
 
 
+def test_decontamination_finds_copies_in_another_case(spark):
+    items = ["el niño comió la piñata más allá del océano según él", "große straße über den weißen fluß", "Ο Οδυσσέας γύρισε στις Ιθάκης τους λόφους", "мы видели белую ночь над рекой"]
+    wide = "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in "five whole words in width")
+    copies = [items[0].upper(), items[1].upper(), items[2].upper(), items[3].upper(), unicodedata.normalize("NFD", items[0].upper()), wide]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*items, "Five Whole Words In Width"])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontamination.leaks(docs_of(spark, [*copies, *EDGE]), table).collect()}
+    assert got == {(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 0, 1.0), (5, 4, 1.0)}
+
+
 def test_decontamination_query_equals_brute_force(spark):
     words = lambda text: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     number: dict[str, int] = {}

@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. The benchmark is taken in
+Words are runs of letters, digits and non-ASCII characters of the text in NFKC,
+case-folded in every script. The benchmark is taken in
 blocks of bounded size, each sent to every task. One pass over the documents
 counts in how many of them each gram of the block's items occurs, a gram being
 two words next to each other or with one between. An item's seeds are the grams
@@ -20,6 +21,8 @@ the n - 1 places of an item, all but one less than so many are seeds: one hits.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +39,25 @@ LEAST_SCORE = 0.4
 BLOCK_BYTES = 8 << 20
 
 
+def folded(text: str) -> str:
+    """NFKC, without case: equal for a text and its upper-case copy, in any script."""
+    if text.isascii():
+        return text.lower()
+    # folding can leave characters that NFKC composes, and NFKC cased ones
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, number of rows, row and hash of each folded word) for runs of rows as textops.chunks has them."""
+    for first, data, bounds in textops.chunks(column):
+        if (data >= 128).any():
+            raw = data.tobytes()
+            texts = [folded(raw[a:b].decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape") for a, b in zip(bounds, bounds[1:])]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        yield first, len(bounds) - 1, *textops.letter_words(data, bounds)
+
+
 @dataclass
 class Block:
     ids: list[int]
@@ -71,9 +93,8 @@ class Lookup:
 def _block(items: pa.Table) -> Block:
     block = Block([], [], [], [])
     ids = items.column("item_id").to_pylist()
-    for first, data, bounds in textops.chunks(items.column("text")):
-        rows, words = textops.letter_words(data, bounds)
-        cuts = np.searchsorted(rows, np.arange(len(bounds)))
+    for first, count, rows, words in _words(items.column("text")):
+        cuts = np.searchsorted(rows, np.arange(count + 1))
         for row, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b - a >= LEAST_WORDS:
                 grams, places = _grams(np.zeros(b - a, np.int64), words[a:b])
@@ -104,8 +125,7 @@ def gram_frequencies(docs: DataFrame, block: Block) -> dict[int, int]:
         known = Lookup(shared.value)
         total = np.zeros(len(known.wanted), np.int64)
         for batch in batches:
-            for _, data, bounds in textops.chunks(batch.column("text")):
-                rows, words = textops.letter_words(data, bounds)
+            for _, _, rows, words in _words(batch.column("text")):
                 hashes, start = _grams(rows, words)
                 found, at = known.find(hashes)
                 pair = np.unique(rows[start[found]] * len(total) + at)
@@ -169,8 +189,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def hits(column: pa.Array, known: Index, least: float = LEAST_SCORE):
     """(row, item number, score 0 to 1, first and last word) of the leaks in each text; of an item its best stretch."""
     lookup = Lookup(known.seeds)
-    for first, data, bounds in textops.chunks(column):
-        rows, words = textops.letter_words(data, bounds)
+    for first, count, rows, words in _words(column):
         hashes, at = _grams(rows, words)
         found, lo = lookup.find(hashes)
         if not len(found):
@@ -185,7 +204,7 @@ def hits(column: pa.Array, known: Index, least: float = LEAST_SCORE):
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
         cuts = [*np.flatnonzero(new).tolist(), len(row)]
-        row_start = np.searchsorted(rows, np.arange(len(bounds)))
+        row_start = np.searchsorted(rows, np.arange(count + 1))
         best: dict[tuple[int, int], tuple] = {}
         for a, b in zip(cuts, cuts[1:]):
             r, i = int(row[a]), int(item[a])
