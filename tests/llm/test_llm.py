@@ -163,6 +163,30 @@ def test_sharding_law_slots_and_movement(spark):
 PAGES = "page_id long, url string, html string"
 
 
+def test_warc_keeps_what_comes_before_a_fault():
+    rng = random.Random(3)
+    bodies = [bytes(rng.choice(b"abcdefgh ") for _ in range(600)) for _ in range(100)]
+    record = lambda x: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x)
+    plain = b"".join(map(record, bodies))
+    whole = gzip.compress(plain)
+    payloads = lambda data: [f[1] for f in warc.salvage(data) if len(f) == 2]
+    assert len(whole) < 65536
+    # a trailer's checksum alone is damaged: nothing is lost, and the next member is read
+    wrong = bytearray(whole)
+    wrong[-6] ^= 1
+    streams, gaps = warc.inflated(bytes(wrong) + whole)
+    assert streams == [plain, plain] and len(gaps) == 1 and len(whole) - 8 <= gaps[0][0] and sum(gaps[0][:2]) == len(whole)
+    assert payloads(bytes(wrong) + whole) == bodies * 2
+    # all before a block of a reserved type: a stored part, then the fault
+    packer = zlib.compressobj(wbits=31)
+    head = packer.compress(plain) + packer.flush(zlib.Z_FULL_FLUSH)
+    assert warc.inflated(head + b"\x07" * 50) == ([plain], [(len(head), 50, "gzip: Error -3 while decompressing data: invalid block type")])
+    # a member cut short: its span is the gap
+    cut = whole + whole[:-2000]
+    streams, gaps = warc.inflated(cut)
+    assert plain == streams[0][: len(plain)] and gaps == [(len(whole), len(whole) - 2000, "gzip member cut short")] and len(payloads(cut)) > 190
+
+
 def test_warc_round_trip(spark):
     long, odd = "<p>é" * 60 + "\r\n\r\nWARC/1.1\r\n", "x" * 99
     rows = [(5, "u\r\nX: y", long), (3, None, long), (9, "u", long), (1, "u", None), (2, "u", ""), (4, "u", odd), (6, "u", odd), (9, "u", long)]

@@ -73,8 +73,37 @@ def write_archives(pages: DataFrame, path: str) -> None:
     writer.option("maxRecordsPerFile", per_file).text(path)
 
 
+def _before_fault(member, data: bytes) -> tuple[bytes, int]:
+    """(all that a decompressor makes of data up to its fault, how many bytes it took before the one at fault)."""
+    out, done = bytearray(), 0
+    for step in (4096, 64, 1):
+        while done < len(data):
+            last = member.copy()
+            try:
+                out += member.decompress(data[done : done + step])
+            except zlib.error:
+                member = last
+                break
+            done += step
+    # the byte at fault may end several symbols: one byte of output at a time
+    more, rest = b"", data[done : done + 1]
+    try:
+        while more or rest:
+            more = member.decompress(rest, 1)
+            rest = member.unconsumed_tail
+            out += more
+    except zlib.error:
+        pass
+    return bytes(out), done
+
+
 def inflated(data: bytes) -> tuple[list[bytes], list[tuple[int, int, str]]]:
-    """The streams of the gzip members that `data` holds, cut where a member failed, and the gaps in `data`."""
+    """The streams of the gzip members that `data` holds, cut where a member failed, and the gaps in `data`.
+
+    A gap reaches from the byte at fault, or of a member cut short from its start, to
+    the next member. The search for that begins within the member, as a fault may show
+    only after the next one's start; the gap's length is 0 then.
+    """
     if not data.startswith(GZIP[:2]):
         at = data.find(GZIP)
         if data.startswith(VERSION[:5]) or at < 0:
@@ -85,27 +114,29 @@ def inflated(data: bytes) -> tuple[list[bytes], list[tuple[int, int, str]]]:
     while at < len(data):
         member, done = zlib.decompressobj(31), at
         try:
-            # in steps, so that what comes before a fault is kept
+            # in steps, so that what comes before a fault is kept; the failing one is taken again in smaller ones
             while done < len(data) and not member.eof:
+                before = member.copy()
                 now += member.decompress(data[done : done + 65536])
                 done += 65536
             if member.eof:
                 at = min(done, len(data)) - len(member.unused_data)
                 if data[at : at + 3] == GZIP or at >= len(data):
                     continue
-                why = "no gzip member"
+                why, lost = "no gzip member", at
             else:
                 now += member.flush()
-                at, why = len(data), "gzip member cut short"
-                gaps.append((at, 0, why))
-                break
+                why, lost = "gzip member cut short", at
         except zlib.error as fault:
-            why = f"gzip: {fault}"
+            more, taken = _before_fault(before, data[done : done + 65536])
+            now += more
+            why, lost = f"gzip: {fault}", done + taken
         streams.append(bytes(now))
         now = bytearray()
         beyond = data.find(GZIP, at + 1)
         beyond = len(data) if beyond < 0 else beyond
-        gaps.append((at, beyond - at, why))
+        lost = min(lost, beyond)
+        gaps.append((lost, beyond - lost, why))
         at = beyond
     return [*streams, bytes(now)] if now else streams, gaps
 
