@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -27,14 +30,18 @@ def get_session(name: str = "tidemark", master: str | None = None, shuffle_parti
 _own = ""
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir, or in a temporary one where that is unset."""
-    import tempfile
-    import uuid
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset: the warehouse, or on one machine a temporary folder of our own."""
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        # executors elsewhere can't see this machine's folders
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     if not folder:
-        _own = _own or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        folder = _own
-    return f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+        folder = _own = _own or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
