@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import math
 import random
 import re
@@ -22,7 +21,7 @@ import oracle  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tidemark.llm import (  # noqa: E402
-    decontamination, embedding_dedup, fitting, jaccard_join, language_id, mixing, quality, queries, sharding, tables, textops, token_counts, toxicity, warc,
+    decontamination, embedding_dedup, fitting, jaccard_join, language_id, mixing, quality, queries, sharding, tables, textops, token_counts, toxicity,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -160,62 +159,6 @@ def test_sharding_law_slots_and_movement(spark):
     assert sharding.place(docs.limit(0)).count() == 0
 
 
-PAGES = "page_id long, url string, html string"
-
-
-def test_warc_keeps_what_comes_before_a_fault():
-    rng = random.Random(3)
-    bodies = [bytes(rng.choice(b"abcdefgh ") for _ in range(600)) for _ in range(100)]
-    record = lambda x: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x)
-    plain = b"".join(map(record, bodies))
-    whole = gzip.compress(plain)
-    payloads = lambda data: [f[1] for f in warc.salvage(data) if len(f) == 2]
-    assert len(whole) < 65536
-    # a trailer's checksum alone is damaged: nothing is lost, and the next member is read
-    wrong = bytearray(whole)
-    wrong[-6] ^= 1
-    streams, gaps = warc.inflated(bytes(wrong) + whole)
-    assert streams == [plain, plain] and len(gaps) == 1 and len(whole) - 8 <= gaps[0][0] and sum(gaps[0][:2]) == len(whole)
-    assert payloads(bytes(wrong) + whole) == bodies * 2
-    # all before a block of a reserved type: a stored part, then the fault
-    packer = zlib.compressobj(wbits=31)
-    head = packer.compress(plain) + packer.flush(zlib.Z_FULL_FLUSH)
-    assert warc.inflated(head + b"\x07" * 50) == ([plain], [(len(head), 50, "gzip: Error -3 while decompressing data: invalid block type")])
-    # a member cut short: its span is the gap
-    cut = whole + whole[:-2000]
-    streams, gaps = warc.inflated(cut)
-    assert plain == streams[0][: len(plain)] and gaps == [(len(whole), len(whole) - 2000, "gzip member cut short")] and len(payloads(cut)) > 190
-
-
-def test_warc_round_trip(spark):
-    long, odd = "<p>é" * 60 + "\r\n\r\nWARC/1.1\r\n", "x" * 99
-    rows = [(5, "u\r\nX: y", long), (3, None, long), (9, "u", long), (1, "u", None), (2, "u", ""), (4, "u", odd), (6, "u", odd), (9, "u", long)]
-    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()))
-    import hashlib
-
-    digest = lambda s: hashlib.sha256((s or "").encode()).hexdigest()
-    want = [(i, len((h or "").encode()), digest(h), "revisit" if h == long and i != 3 else "response", 3 if h == long and i != 3 else None) for i, _, h in rows]
-    assert got == sorted(want)
-    assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
-    same, a, b = oracle.compare(spark, queries.QUERIES["op10_warc"], warc.SQL)
-    assert same and a == b
-
-
-def test_salvage_recovers_beyond_damage():
-    records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhell%d\r\n\r\n" % i for i in range(9)]
-    payloads = lambda data: [f[1] for f in warc.salvage(data) if len(f) == 2]
-    plain = b"".join(records)
-    assert len(payloads(plain)) == 9
-    for cut in (plain[:70] + b"?" + plain[71:], plain[:90] + plain[100:], b"junk" + plain):
-        gaps = [f for f in warc.salvage(cut) if len(f) == 3]
-        assert len(payloads(cut)) >= 8 - (cut is not plain) and gaps
-    members = [gzip.compress(r) for r in records]
-    broken = bytearray(b"".join(members))
-    broken[len(members[0]) + 20] ^= 0xFF
-    assert len(payloads(bytes(broken))) >= 8
-    assert len(payloads(b"".join(members)[:-20])) == 8 and list(warc.salvage(b"")) == []
-
-
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 24))

@@ -1,26 +1,19 @@
-"""Intermediate tables in the shared folder, and connected components of links."""
+"""Intermediate tables in the shared folder, exact filters by a bounded bitmap, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
 
-_own = ""
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    global _own
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own = _own or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        folder = _own
-    return folder.rstrip("/")
+#: Keys that more than one row in this many holds meet their rows by broadcast; fewer than this many can.
+HOT_PART = 10_000
+#: Bits of a cell's number; a bitmap of all cells is 2**20 words, whatever the input's size.
+CELL_BITS = 26
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +46,43 @@ def small(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
     return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
 
 
+def skew_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined (inner) with facts, one row a key, on columns that are not null.
+
+    `weight` counts a key's rows among `total`. Keys that hold more than one row
+    in HOT_PART are fewer than HOT_PART, so they are sent to every task and their
+    rows stay where they are; the others are joined by shuffle.
+    """
+    hot = F.col(weight) * HOT_PART > total
+    often = F.broadcast(facts.filter(hot).drop(weight))
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(facts.filter(~hot).drop(weight), key))
+
+
+def cell(hash64: Column) -> Column:
+    """The cell of a 64-bit hash: its leading bits."""
+    return F.shiftrightunsigned(hash64, 64 - CELL_BITS)
+
+
+def bitmap(cells: DataFrame, **kinds: Column) -> DataFrame:
+    """(word, <kind>...): for each kind, a condition over the rows, the bits of the cells (column cell) that hold such a row.
+
+    At most 2**20 rows of a few numbers, so it may be sent to every task.
+    """
+    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    bits = [F.coalesce(F.bit_or(F.when(of, bit)), F.lit(0).cast("long")).alias(kind) for kind, of in kinds.items()]
+    return written(cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(*bits), "cells")
+
+
+def with_cells(rows: DataFrame, hash64: Column, bits: DataFrame) -> DataFrame:
+    """rows with a boolean column for each kind of bitmap(): whether the row's cell holds such a row."""
+    kinds = [c for c in bits.columns if c != "word"]
+    at = rows.withColumn("_cell", cell(hash64)).withColumn("_word", F.shiftright("_cell", 6))
+    joined = at.join(F.broadcast(bits.withColumnsRenamed({"word": "_word"} | {k: f"_bits_{k}" for k in kinds})), "_word", "left")
+    place = F.expr("cast(_cell & 63 as int)")
+    flag = lambda k: F.coalesce(F.call_function("getbit", F.col(f"_bits_{k}"), place) == 1, F.lit(False))
+    return joined.withColumns({k: flag(k) for k in kinds}).drop("_cell", "_word", *[f"_bits_{k}" for k in kinds])
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later step reads."""
     for df in tables:
@@ -82,9 +112,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written first: an aggregate on the join's key would hand its partitioning to the join, and a hub's
+        # edges would meet in one task; both sides read from tables are plain shuffles, which adaptive execution splits
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        drop(least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         pairs = large.join(least, "u")
         small = (
             pairs.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -92,7 +125,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         before, now = now, written(small, "edges")
-        drop(before)
+        drop(before, least, large)
         last, state = state, _state(now)
         if state == last:
             break
