@@ -1,12 +1,16 @@
 """Sharding by a hierarchical weighted hash tree.
 
-The tree is region / rack / shard. A key draws one number from each shard below
-a node: an exponential variable whose rate is the shard's weight, from a hash of
-the key and the shard's name. A node's draw is the least below it, which is an
-exponential variable of the node's whole weight; the key descends to the child
-with the least draw, level by level. A change of one shard's weight changes only
-that shard's draws, hence only draws on its own path, and moves keys only into
-or out of that subtree; a new shard takes keys only into itself.
+The tree is region / rack / shard; a node's weight is that of the shards below
+it. A key descends level by level: each child of the node it has reached draws an
+exponential variable whose rate is the child's weight, from a hash of the key
+and the child's name, and the least draw wins. So a key costs as many hashes as the
+nodes on its path have children, not as many as there are shards.
+
+A change of a shard's weight changes the weights on its own path only: at each level keys move
+only into or out of the child on that path, and all movement is confined to the
+subtrees whose weights change. Keys that come into a region or rack are dealt among all
+shards in it; therefore a shard added by grown() opens a region of its own, which
+takes keys only into itself.
 """
 
 from __future__ import annotations
@@ -18,36 +22,61 @@ from tidemark.llm import tables
 
 SHARDS_PER_RACK, RACKS_PER_REGION = 5, 4
 ROW_BYTES = 16
+#: Equal rows are numbered in runs of this many.
+RUN = 4096
+
+Leaf = tuple[int, int, int, float]
 
 
-def tree(shards: int, weights: dict[int, float] | None = None) -> list[tuple[int, int, int, float]]:
+def tree(shards: int, weights: dict[int, float] | None = None) -> list[Leaf]:
     """(region, rack, shard, weight) of each shard, filled rack by rack; weight 1 unless given."""
     racks = [s // SHARDS_PER_RACK for s in range(shards)]
     return [(r // RACKS_PER_REGION, r, s, float((weights or {}).get(s, 1.0))) for s, r in enumerate(racks)]
 
 
-def assign(key: Column, leaves: list[tuple[int, int, int, float]]) -> Column:
-    """The shard that `key` (a long; null is a key like any other) descends to.
+def grown(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one shard more, in a region and rack of its own."""
+    region, rack, shard = (max((x[i] for x in leaves), default=-1) + 1 for i in range(3))
+    return [*leaves, (region, rack, shard, weight)]
+
 
-    Ties between draws go to the smaller region, rack and shard.
+def assign(key: Column, leaves: list[Leaf]) -> Column:
+    """The shard that `key` (null is a key like any other) descends to.
+
+    Shards of weight 0 or less get nothing. Ties between draws go to the node
+    of the smaller number; without shards of weight the result is null.
     """
     known = F.coalesce(key.cast("string"), F.lit("null"))
+    live = [x for x in leaves if x[3] > 0]
+    if not live:
+        return F.lit(None).cast("int")
 
-    def draw(shard: int, weight: float) -> Column:
+    def node(kind: str, number: int, weight: float, at: int) -> Column:
+        return F.struct(F.lit(f"{kind}-{number}").alias("name"), F.lit(weight).alias("weight"), F.lit(number).alias("number"), F.lit(at).alias("at"))
+
+    def draw(child: Column) -> Column:
         # 52 bits of a hash as a number above 0 and below 1
-        bits = F.shiftrightunsigned(F.xxhash64(known, F.lit(f"shard-{shard}")), 12)
-        return -F.ln((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / F.lit(weight)
+        bits = F.shiftrightunsigned(F.xxhash64(known, child["name"]), 12)
+        return -F.ln((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / child["weight"]
 
-    live = [x for x in leaves if x[3] > 0]
-    nodes = {(region, rack, shard): draw(shard, weight) for region, rack, shard, weight in live}
-    for depth in (2, 1, 0):
-        # a node: its draw, then the shard that the key would end at below it
-        grouped: dict[tuple, list[Column]] = {}
-        for path, value in nodes.items():
-            entry = F.struct(value.alias("draw"), F.lit(path[2]).alias("shard")) if depth == 2 else value
-            grouped.setdefault(path[:depth], []).append(entry)
-        nodes = {path: F.array_min(F.array(*found)) for path, found in grouped.items()}
-    return nodes[()]["shard"]
+    def winner(children: Column) -> Column:
+        return F.array_min(F.transform(children, lambda c: F.struct(draw(c).alias("draw"), c["number"].alias("number"), c["at"].alias("at"))))
+
+    # children by their parent's place among the nodes of its level; all of it constants
+    under: dict[int, dict[int, list[tuple[int, float]]]] = {}
+    for region, rack, shard, weight in live:
+        under.setdefault(region, {}).setdefault(rack, []).append((shard, weight))
+    regions, racks, shards = [], [], []
+    for region, inner in sorted(under.items()):
+        regions.append(node("region", region, sum(w for found in inner.values() for _, w in found), len(racks) + 1))
+        mine = []
+        for rack, found in sorted(inner.items()):
+            shards.append(F.array(*[node("shard", s, w, 0) for s, w in sorted(found)]))
+            mine.append(node("rack", rack, sum(w for _, w in found), len(shards)))
+        racks.append(F.array(*mine))
+    region = winner(F.array(*regions))
+    rack = winner(F.element_at(F.array(*racks), region["at"]))
+    return winner(F.element_at(F.array(*shards), rack["at"]))["number"]
 
 
 def place(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -55,30 +84,34 @@ def place(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     The law is `key`: doc_id and the shard count decide, and grown_shard is the
     shard under one shard more. size is the text's UTF-8 bytes plus 16. Slots
-    count each shard's rows from 0 without gaps: rows are dealt to ranges of a
-    hash, ranges counted, and numbered inside each range from the range's start,
-    so no task holds a whole shard. Null text counts as no bytes; a null doc_id is a key;
+    count each shard's rows from 0 without gaps: equal rows are counted, their
+    counts dealt to ranges of a hash, and numbered from the range's start; the
+    rows of a count are then made anew, in runs that are tasks' work of their own,
+    so no task holds a whole shard or all of a row's repeats. Null text counts as no bytes;
+    a null doc_id is a key; doc_id keeps its type;
     repeated rows go to one shard and get a slot each; an empty table
     gives an empty result. Other columns of docs are not read.
     """
-    raw = F.coalesce(F.col("text"), F.lit(""))
+    raw, leaves = F.coalesce(F.col("text"), F.lit("")), tree(shards)
     slim = docs.select(
         "doc_id",
         (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(raw).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
-        assign(F.col("doc_id"), tree(shards)).cast("int").alias("shard"),
-        assign(F.col("doc_id"), tree(shards + 1)).cast("int").alias("grown_shard"),
+        assign(F.col("doc_id"), leaves).cast("int").alias("shard"),
+        assign(F.col("doc_id"), grown(leaves)).cast("int").alias("grown_shard"),
     )
-    slim = tables.written(slim, "placed")
-    bins = max(4, slim.count() // (shards * 10_000))
-    slim = slim.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(bins)))
-    counted = slim.groupBy("shard", "bin").agg(F.count("*").alias("n"))
+    same = tables.written(slim.groupBy(*slim.columns).agg(F.count("*").alias("n")), "placed")
+    bins = max(4, same.count() // (shards * 10_000))
+    same = same.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(bins)))
+    counted = same.groupBy("shard", "bin").agg(F.sum("n").alias("rows"))
     running = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("shard", "bin", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        slim.withColumn("inside", inside)
-        .join(starts, ["shard", "bin"])
-        .select("doc_id", "size", "text_crc32", "law", "shard", (F.col("start") + F.col("inside") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    starts = counted.select("shard", "bin", F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = same.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "bin"]).withColumn("first", F.col("start") + F.col("inside"))
+    last = F.col("first") + F.col("n") - 1
+    few = first.filter(F.col("n") <= RUN).withColumn("slot", F.explode(F.sequence("first", last)))
+    runs = first.filter(F.col("n") > RUN).withColumn("from", F.explode(F.sequence("first", last, F.lit(RUN).cast("long"))))
+    many = runs.repartition(F.col("from")).withColumn("slot", F.explode(F.sequence("from", F.least(last, F.col("from") + RUN - 1))))
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return few.select(*columns).unionByName(many.select(*columns))
