@@ -9,10 +9,14 @@ still be near enough and reranks that by the exact cosine in double precision.
 What the tables leave out: a member y with quantisation error e (known when it
 is coded) can be within r of x only if the looked-up distance is at most r + e,
 so the lookup loses nothing. Probes: a neighbour within r of x lies in another
-list only if x is within r of the border with it; the offset's part along that
-border's normal is about r / sqrt(dimensions), and lists are probed up to
-PROBE_SIGMAS of that. Pairs in different lists are looked for once, from the side
-with the higher list number.
+list only if x is within r of the border with it. With `exact` all such lists are
+probed and no link is lost. By default a narrower border is: an offset of
+length r, spread over d directions, has about r / sqrt(d) along the border's
+normal, and lists are probed up to PROBE_SIGMAS of that, or up to r where that
+is less. d is measured around each list, as the number of directions that the
+sample's nearest vectors vary in; where they vary in PROBE_SIGMAS ** 2 or fewer
+the default is exact as well. Pairs in different lists are looked for
+once, from the side with the higher list number.
 
 Equal vectors of a label are counted before anything else and searched as one
 vector of that weight, so a group of copies costs what one vector does. Lists
@@ -37,9 +41,9 @@ COSINE = 0.98
 MOST_FITTED = 16_384
 MOST_LISTS, SUBSPACES, CODES, ROUNDS = 1024, 16, 256, 8
 PROBE_SIGMAS = 4.0
+#: The sample's vectors around a list that its directions are counted on.
+AROUND = 64
 CHUNK = 1024
-#: Vectors that more than one row in this many holds meet their rows by broadcast; fewer than this many can.
-HOT_PART = 10_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -62,6 +66,7 @@ class Index:
     centres: np.ndarray  # lists x dimensions
     cuts: list[int]  # bounds of the subspaces
     books: list[np.ndarray]  # codes x the subspace's dimensions
+    directions: np.ndarray  # around each list
 
     def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, error) of unit vectors."""
@@ -75,15 +80,17 @@ class Index:
             error += ((part - book[codes[:, s]]) ** 2).sum(1)
         return home, codes, np.sqrt(error)
 
-    def probes(self, unit: np.ndarray, home: np.ndarray, reach: float) -> np.ndarray:
+    def probes(self, unit: np.ndarray, home: np.ndarray, reach: float, exact: bool = False) -> np.ndarray:
         """Which lists of lower number than its own each vector probes, as a table of booleans."""
-        apart = ((self.centres**2).sum(1)[None] - 2 * unit @ self.centres.T)
+        square = (self.centres**2).sum(1)
+        apart = square[None] - 2 * unit @ self.centres.T
         apart -= apart[np.arange(len(unit)), home][:, None]
-        between = np.sqrt(np.maximum(((self.centres[home][:, None] - self.centres[None]) ** 2).sum(2), 1e-12)) if len(self.centres) <= 64 else None
-        if between is None:
-            gram = (self.centres**2).sum(1)
-            between = np.sqrt(np.maximum(gram[home][:, None] + gram[None] - 2 * self.centres[home] @ self.centres.T, 1e-12))
-        near = apart / (2 * between) <= PROBE_SIGMAS * reach / np.sqrt(unit.shape[1])
+        between = np.sqrt(np.maximum(square[home][:, None] + square[None] - 2 * self.centres[home] @ self.centres.T, 1e-12))
+        border = reach
+        if not exact:
+            fewer = np.minimum(self.directions[home][:, None], self.directions[None])
+            border = np.minimum(reach, PROBE_SIGMAS * reach / np.sqrt(fewer))
+        near = apart / (2 * between) <= border + 1e-9
         near &= np.arange(len(self.centres))[None] < home[:, None]
         return near
 
@@ -97,6 +104,23 @@ class Index:
         return np.maximum(out, 0)
 
 
+def directions(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """In how many directions the sample varies around each centre.
+
+    The square of the variances' sum over the sum of their squares (1 for a line, d for
+    a ball in d dimensions) of the AROUND nearest vectors, corrected for their small number.
+    """
+    n = min(AROUND, len(sample))
+    out = np.ones(len(centres))
+    for i, centre in enumerate(centres if n > 2 else ()):
+        near = sample[np.argpartition(((sample - centre) ** 2).sum(1), n - 1)[:n]]
+        near = near - near.mean(0)
+        total = (near**2).sum() / (n - 1)
+        squares = ((near.T @ near / (n - 1)) ** 2).sum() - total**2 / (n - 1)
+        out[i] = sample.shape[1] if squares * sample.shape[1] <= total**2 else total**2 / squares
+    return np.clip(out, 1, sample.shape[1])
+
+
 def fit(sample: np.ndarray, rows: int, seed: int = 11) -> Index:
     """An index from unit vectors; about sqrt(rows) lists, MOST_LISTS at most."""
     rng = np.random.default_rng(seed)
@@ -105,7 +129,7 @@ def fit(sample: np.ndarray, rows: int, seed: int = 11) -> Index:
     rest = sample - centres[_nearest(sample, centres)]
     cuts = np.linspace(0, dims, min(SUBSPACES, dims) + 1).astype(int).tolist()
     books = [kmeans(rest[:, a:b], min(CODES, len(rest)), rng) for a, b in zip(cuts, cuts[1:])]
-    return Index(centres, cuts, books)
+    return Index(centres, cuts, books, directions(sample, centres))
 
 
 def _units(blobs) -> np.ndarray:
@@ -131,7 +155,8 @@ def prepared(embeddings: DataFrame) -> DataFrame:
                 [batch.column("vec_id"), batch.column("label").cast(pa.string()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "label", "dims", "raw"]
             )
 
-    rows = embeddings.select("vec_id", "embedding", "label").mapInArrow(run, "vec_id long, label string, dims int, raw binary")
+    schema = tables.schema_with(embeddings, ["vec_id"], "label string, dims int, raw binary")
+    rows = embeddings.select("vec_id", "embedding", "label").mapInArrow(run, schema)
     return rows.withColumn("digest", F.unhex(F.sha2("raw", 256)))
 
 
@@ -141,7 +166,7 @@ def distinct(found: DataFrame) -> DataFrame:
     return once.withColumn("uid", F.monotonically_increasing_id())
 
 
-def _coded(valid: DataFrame, models, reach: float) -> DataFrame:
+def _coded(valid: DataFrame, models, reach: float, exact: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             for dims in set(batch.column("dims").to_pylist()):
@@ -150,7 +175,7 @@ def _coded(valid: DataFrame, models, reach: float) -> DataFrame:
                     rows = part.slice(at, 2048)
                     unit = _units(rows.column("raw").to_pylist())
                     home, codes, error = models.value[dims].code(unit)
-                    near = models.value[dims].probes(unit, home, reach)
+                    near = models.value[dims].probes(unit, home, reach, exact)
                     yield pa.RecordBatch.from_arrays(
                         [
                             *[rows.column(c) for c in ("uid", "label", "dims", "raw", "weight")],
@@ -238,11 +263,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_copies(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_copies(embeddings: DataFrame, cosine: float = COSINE, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings (vec_id, embedding, label).
 
     Rows link if their labels are equal and not null and their cosine is at
-    least `cosine`. Null, zero or empty vectors and those with null or
+    least `cosine`; `exact` loses none of the links, by more probes. vec_id keeps its type. Null, zero or empty vectors and those with null or
     non-finite components link with nothing; vectors of different lengths don't
     link; repeated rows are vectors of their own; a null vec_id is never a
     component's id unless alone; an empty table gives an empty result. Other columns are not read.
@@ -261,7 +286,7 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         blobs = sample.column("raw").to_pylist() or [of_size.orderBy("digest", "label").first()["raw"]]
         fitted[r["dims"]] = fit(_units(blobs), r["n"])
     models = spark.sparkContext.broadcast(fitted)
-    coded = tables.written(_coded(valid, models, reach), "coded")
+    coded = tables.written(_coded(valid, models, reach, exact), "coded")
     counts = tables.written(_searched(coded, models, cosine, reach), "counts")
     together = tables.components(counts.filter("uid != up").select(F.col("uid").alias("a"), F.col("up").alias("b")))
     others = counts.groupBy("uid").agg(F.sum("n").alias("others"))
@@ -272,21 +297,14 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         .withColumn("component", F.coalesce("component", "uid"))
     )
     placed = tables.written(placed, "placed")
-    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    # read from a table, so that adaptive execution can split a component that holds many vectors
+    smallest = tables.written(placed.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     answer = placed.join(smallest, "component").select(
-        "label", "digest", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
+        F.concat_ws(" ", "label", F.hex("digest")).alias("vector"), "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
     )
     answer = tables.written(answer, "answer")
-    hot, key = F.col("weight") * HOT_PART > total, ["label", "digest"]
-    often = F.broadcast(answer.filter(hot))
-    linkable = rows.filter("digest is not null")
-    every = [
-        linkable.join(often, key),
-        linkable.join(often, key, "left_anti").join(answer.filter(~hot), key),
-        rows.filter("digest is null").withColumns({"n_links": F.lit(0), "component_id": F.col("vec_id")}),
-    ]
+    linkable = rows.filter("digest is not null").select("vec_id", F.concat_ws(" ", "label", F.hex("digest")).alias("vector"))
+    linked = tables.skew_join(linkable, answer, "vector", "weight", total).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
-    first, *more = [part.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept) for part in every]
-    for part in more:
-        first = first.unionByName(part)
-    return first
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept)

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import shared_folder
 
 #: Keys that more than one row in this many holds meet their rows by broadcast; fewer than this many can.
 HOT_PART = 10_000
-#: Bits of a cell's number; a bitmap of all cells is 2**20 words, whatever the input's size.
+#: Bits of a cell's number; a bitmap of all cells is 8 MB, whatever the input's size.
 CELL_BITS = 26
 
 
@@ -46,6 +47,11 @@ def small(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
     return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
 
 
+def schema_with(df: DataFrame, columns: list[str], more: str) -> StructType:
+    """The given columns of df, as they are, then those of the DDL text `more`."""
+    return StructType([*[df.schema[c] for c in columns], *StructType.fromDDL(more).fields])
+
+
 def skew_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """rows joined (inner) with facts, one row a key, on columns that are not null.
 
