@@ -13,7 +13,7 @@ from tidemark.session import shared_folder
 
 #: Keys that more than one row in this many holds meet their rows by broadcast; fewer than this many can.
 HOT_PART = 10_000
-#: Bits of a cell's number; a bitmap of all cells is 8 MB, whatever the input's size.
+#: Most bits of a cell's number: a bitmap of all cells is 8 MB at most, whatever the input's size.
 CELL_BITS = 26
 
 
@@ -64,29 +64,41 @@ def skew_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: i
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(facts.filter(~hot).drop(weight), key))
 
 
-def cell(hash64: Column) -> Column:
+def cell_bits(rows: int) -> int:
+    """Bits for about 16 cells a row, CELL_BITS at most."""
+    return min(CELL_BITS, (16 * rows).bit_length())
+
+
+def cell(hash64: Column, bits: int) -> Column:
     """The cell of a 64-bit hash: its leading bits."""
-    return F.shiftrightunsigned(hash64, 64 - CELL_BITS)
+    return F.shiftrightunsigned(hash64, 64 - bits)
 
 
 def bitmap(cells: DataFrame, **kinds: Column) -> DataFrame:
-    """(word, <kind>...): for each kind, a condition over the rows, the bits of the cells (column cell) that hold such a row.
+    """(block, <kind>...): for each kind, a condition over the rows, the bits of the cells (column cell) that hold such a row.
 
-    At most 2**20 rows of a few numbers, so it may be sent to every task.
+    A block is 64 words of 64 cells, so there are at most 2**(CELL_BITS - 12) rows of
+    512 bytes a kind, 8 MB a kind: it may be sent to every task.
     """
     bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
-    bits = [F.coalesce(F.bit_or(F.when(of, bit)), F.lit(0).cast("long")).alias(kind) for kind, of in kinds.items()]
-    return written(cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(*bits), "cells")
+    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(*[F.coalesce(F.bit_or(F.when(of, bit)), F.lit(0).cast("long")).alias(kind) for kind, of in kinds.items()])
+    place = F.col("word").bitwiseAND(63).cast("int")
+    blocks = words.groupBy(F.shiftright("word", 6).alias("block")).agg(*[F.map_from_entries(F.collect_list(F.struct(place, kind))).alias(kind) for kind in kinds])
+
+    def filled(kind: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at(F.col(kind), i), F.lit(0).cast("long")))
+
+    return written(blocks.select("block", *[filled(kind).alias(kind) for kind in kinds]), "cells")
 
 
-def with_cells(rows: DataFrame, hash64: Column, bits: DataFrame) -> DataFrame:
+def with_cells(rows: DataFrame, hash64: Column, held: DataFrame, bits: int) -> DataFrame:
     """rows with a boolean column for each kind of bitmap(): whether the row's cell holds such a row."""
-    kinds = [c for c in bits.columns if c != "word"]
-    at = rows.withColumn("_cell", cell(hash64)).withColumn("_word", F.shiftright("_cell", 6))
-    joined = at.join(F.broadcast(bits.withColumnsRenamed({"word": "_word"} | {k: f"_bits_{k}" for k in kinds})), "_word", "left")
-    place = F.expr("cast(_cell & 63 as int)")
-    flag = lambda k: F.coalesce(F.call_function("getbit", F.col(f"_bits_{k}"), place) == 1, F.lit(False))
-    return joined.withColumns({k: flag(k) for k in kinds}).drop("_cell", "_word", *[f"_bits_{k}" for k in kinds])
+    kinds = [c for c in held.columns if c != "block"]
+    at = rows.withColumn("_cell", cell(hash64, bits)).withColumn("_block", F.shiftright("_cell", 12))
+    joined = at.join(F.broadcast(held.withColumnsRenamed({"block": "_block"} | {k: f"_bits_{k}" for k in kinds})), "_block", "left")
+    word, place = F.expr("cast(shiftright(_cell, 6) & 63 as int) + 1"), F.expr("cast(_cell & 63 as int)")
+    flag = lambda k: F.coalesce(F.call_function("getbit", F.element_at(F.col(f"_bits_{k}"), word), place) == 1, F.lit(False))
+    return joined.withColumns({k: flag(k) for k in kinds}).drop("_cell", "_block", *[f"_bits_{k}" for k in kinds])
 
 
 def drop(*tables: DataFrame) -> None:

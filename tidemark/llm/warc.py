@@ -54,13 +54,14 @@ def classified(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = tables.written(full.filter(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).select("page_id", "url", "digest"), "ids")
     every = tables.written(ids.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")), "digests")
     repeated = every.filter("n > 1 and least is not null")
-    same = F.col("page_id").eqNullSafe(F.col("least"))
-    revisits = tables.written(tables.skew_join(ids, repeated, "digest", "n", ids.count()).filter(~same), "revisits")
+    rows = ids.count()
+    same, width = F.col("page_id").eqNullSafe(F.col("least")), tables.cell_bits(rows)
+    revisits = tables.written(tables.skew_join(ids, repeated, "digest", "n", rows).filter(~same), "revisits")
     key = F.xxhash64("digest", "page_id")
-    hashed = lambda df, revisit: df.select(tables.cell(key).alias("cell"), F.lit(revisit).alias("revisit"))
+    hashed = lambda df, revisit: df.select(tables.cell(key, width).alias("cell"), F.lit(revisit).alias("revisit"))
     responses = every.select("digest", F.col("least").alias("page_id"))
-    bits = tables.bitmap(hashed(revisits, True).unionByName(hashed(responses, False)), revisit=F.col("revisit"), response=~F.col("revisit"))
-    marked = tables.with_cells(full, key, bits)
+    held = tables.bitmap(hashed(revisits, True).unionByName(hashed(responses, False)), revisit=F.col("revisit"), response=~F.col("revisit"))
+    marked = tables.with_cells(full, key, held, width)
     short = F.col("payload_bytes") < LEAST_REVISIT_BYTES
     sure = marked.filter(short | ~F.col("revisit")).drop("revisit", "response")
     both = marked.filter(~short & F.col("revisit") & F.col("response")).drop("revisit", "response")
