@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from tidemark.llm import tables, textops
 from tidemark.llm.tables import components, roots
@@ -41,8 +40,10 @@ PERCENT = 75
 MAX_MATCH = 4
 VERIFY_COST = 16.0
 CELL_BITS, RANGE_BITS = 26, 10
-#: Lists of tokens of this level or more (about 4,096 documents) are dealt over several groups.
-LONG_LEVEL, LONG_PARTS = 12, 64
+#: Lists of tokens of this level or more (about 4,096 documents) are dealt over groups of about LONG_PART entries.
+LONG_LEVEL, LONG_PART = 12, 100_000
+#: Sizes of sets are taken in bands, each up to this many times as wide as its lowest.
+BAND = 1.05
 _U = np.uint64
 
 
@@ -50,9 +51,6 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-_SCAN = "doc_id long, n_shingles long, node long, part int, cells binary"
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """What one pass over the texts gathers, in two kinds of rows.
 
@@ -61,9 +59,10 @@ def scan(docs: DataFrame) -> DataFrame:
     shingles of the task's documents fall in; copies within a task count once.
     """
     low_bits = CELL_BITS - RANGE_BITS
+    schema = tables.schema_with(docs, ["doc_id"], "n_shingles long, node long, part int, cells binary")
 
     def run(batches):
-        held, count, seen = [], 0, set()
+        held, count, seen, kind = [], 0, set(), pa.int64()
 
         def flush():
             at = np.sort(np.concatenate(held))
@@ -72,10 +71,11 @@ def scan(docs: DataFrame) -> DataFrame:
             parts = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
             blobs = [low[cuts[i] : cuts[i + 1]].tobytes() for i in parts]
             none = pa.nulls(len(parts), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), none, none, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
 
-        names = ["doc_id", "n_shingles", "node", "part", "cells"]
+        names = schema.names
         for batch in batches:
+            kind = batch.column("doc_id").type
             size, node = [0] * len(batch), [None] * len(batch)
             for row, found in textops.shingle_sets(batch.column("text")):
                 if not len(found):
@@ -93,7 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCAN)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def frequency_levels(scanned: DataFrame) -> np.ndarray:
@@ -149,7 +149,7 @@ def choose_prefix(tokens: np.ndarray, percent: int) -> tuple[int, int]:
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("match", "u1"), ("spread", "u1")])
 
 
-def postings(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, levels, percent: int, buckets: int, long_parts: int) -> DataFrame:
     """(bucket, blob): packed postings of every document's prefix, by token."""
 
     def run(batches):
@@ -160,7 +160,7 @@ def postings(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
             rows = np.concatenate(held)
             bucket = rows["token"] % _U(buckets)
             long = rows["token"] >> _U(60) >= LONG_LEVEL
-            bucket = bucket.astype(np.int64) * LONG_PARTS + np.where(long, textops.mix(rows["node"].view(np.uint64)) % _U(LONG_PARTS), 0).astype(np.int64)
+            bucket = bucket.astype(np.int64) * long_parts + np.where(long, textops.mix(rows["node"].view(np.uint64)) % _U(long_parts), 0).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, rows = bucket[order], rows[order]
             keys, cuts = np.unique(bucket, return_index=True)
@@ -283,33 +283,66 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return tables.written(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
 
 
-def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(x, y): the pairs of components that could still be linked; `lists` has token, node, size, match, component.
+def _asked(own: tuple[str, str, str], other: tuple[str, str, str], percent: int) -> str:
+    """SQL for the prefix tokens that sets of sizes low to high, with prefixes of `match` or more, share if they are linked; a side is (low, high, match)."""
+    rest = [f"((({high}) * {percent} + 99) div 100 - {match})" for _, high, match in (own, other)]
+    overlap = f"(({percent} * ({own[0]} + {other[0]}) + {99 + percent}) div {100 + percent})"
+    return f"greatest(1, least({own[2]}, {other[2]}), {overlap} - greatest({rest[0]}, {rest[1]}))"
+
+
+def _entering(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join for the pairs of components that could still be linked, by token and pair of bands.
 
     A pair of nodes with enough overlap shares a certain number of prefix
     tokens: of the two prefixes, the one that ends first in the global order has
     all it shares inside the other's; beyond it lie at most the rest of its own
     set. At the first token that the pair shares, each node must have that
     many of its shared tokens left ("slack"). Within a list each component
-    enters once, by the bounds of its nodes.
+    enters once for each band of sizes, by the bounds of its nodes there.
+
+    Bands of sizes are joined band by band, and what an entry must have left
+    against any partner of a band is asked before the join: of many texts that share
+    boilerplate but too little of it, none enters the join, so the join's rows
+    follow the candidates and not the square of a list. The bands are fewer than 900 for
+    any sizes, so their bounds may be collected and sent to every task.
     """
     of_node = Window.partitionBy("node")
     slack = F.count("*").over(of_node) - F.row_number().over(of_node.orderBy("token")) + 1
     entries = (
         lists.withColumn("slack", slack)
-        .groupBy("token", "component")
-        .agg(F.max("slack").alias("slack"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("match").alias("match"))
+        .withColumn("band", F.floor(F.log(BAND, F.col("size"))))
+        .groupBy("token", "component", "band")
+        .agg(F.max("slack").alias("slack"), F.min("size").cast("long").alias("low"), F.max("size").cast("long").alias("high"), F.min("match").alias("match"))
     )
+    entries = tables.written(entries, "entries")
+    bands = sorted(tuple(r) for r in entries.groupBy("band").agg(F.min("low"), F.max("high"), F.min("match")).collect())
+    pairs = [(x, y) for i, x in enumerate(bands) for y in bands[i:] if 100 * x[2] >= percent * y[1]]
     columns = ("component", "slack", "low", "high", "match")
-    x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
-    rest = [f"(high_{side} * {percent} + 99) div 100 - match_{side}" for side in "xy"]
-    asked = f"({percent} * (low_x + low_y) + {99 + percent}) div {100 + percent} - greatest({rest[0]}, {rest[1]})"
+
+    def side(name: str, own: int) -> DataFrame:
+        """The entries that have enough left against some partner of the other band, once for each pair of bands."""
+        facts = [(n, pair[own][0], *pair[1 - own][1:], pair[0] == pair[1]) for n, pair in enumerate(pairs)]
+        facts = lists.sparkSession.createDataFrame(facts, "pair int, band long, o_low long, o_high long, o_match int, equal boolean")
+        left = entries.join(F.broadcast(facts), "band").filter(f"slack >= {_asked(('low', 'high', 'match'), ('o_low', 'o_high', 'o_match'), percent)}")
+        return left.select("token", "pair", *(["equal"] if own == 0 else []), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    return side("x", 0), side("y", 1)
+
+
+def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the pairs of components that could still be linked; `lists` has token, node, size, match, component."""
+    x, y = _entering(lists, percent)
+    sides = [tuple(f"{c}_{name}" for c in ("low", "high", "match")) for name in "xy"]
     sizes = f"100 * high_x >= {percent} * low_y and 100 * high_y >= {percent} * low_x"
-    fits = f"component_x < component_y and {sizes} and least(slack_x, slack_y) >= greatest(1, least(match_x, match_y), {asked})"
-    return x.join(y, "token").filter(fits).select(F.col("component_x").alias("x"), F.col("component_y").alias("y")).distinct()
+    order = "case when equal then component_x < component_y else component_x <> component_y end"
+    fits = f"{order} and {sizes} and least(slack_x, slack_y) >= {_asked(*sides, percent)}"
+    joined = x.join(y, ["token", "pair"]).filter(fits)
+    return joined.select(F.least("component_x", "component_y").alias("x"), F.greatest("component_x", "component_y").alias("y")).distinct()
 
 
 HOST_CHUNK, GUEST_CHUNK, GROUP_ROWS = 64, 256, 1500
+#: Most shingles of a chunk's and of a group's texts, but for a single text that has more.
+CHUNK_SHINGLES, GROUP_SHINGLES = 100_000, 400_000
 
 
 def _linked_components(pairs: DataFrame, lists: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -317,30 +350,33 @@ def _linked_components(pairs: DataFrame, lists: DataFrame, docs: DataFrame, perc
 
     The larger component of a pair is the host of the other's nodes. Host nodes
     and all guests of a host meet chunk by chunk, with their whole texts, so a
-    large component is sent once for every GUEST_CHUNK guests, and a guest once
-    for every HOST_CHUNK host nodes, instead of a row for each pair of nodes.
+    large component is sent once for every chunk of guests, and a guest once
+    for every chunk of host nodes, instead of a row for each pair of nodes. Chunks
+    are bounded in nodes and in shingles.
     """
-    nodes = lists.select("component", "node").distinct()
-    count = nodes.groupBy("component").agg(F.count("*").alias("n"))
-    sized = pairs.join(count.select(F.col("component").alias("x"), F.col("n").alias("nx")), "x").join(count.select(F.col("component").alias("y"), F.col("n").alias("ny")), "y")
+    nodes = tables.written(lists.select("component", "node", "size").distinct(), "nodes")
+    chunks = lambda n, size, most: F.ceil(F.greatest(F.col(n) / most, F.col(size) / CHUNK_SHINGLES)).cast("int")
+    count = tables.written(nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("s")), "sizes")
+    sized = pairs.join(count.select(F.col("component").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")), "x").join(count.select(F.col("component").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")), "y")
     first = F.col("nx") >= F.col("ny")
-    placed = sized.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("host"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("guest"), F.greatest("nx", "ny").alias("host_n"))
-    placed = tables.written(placed, "placed")
-    guests = placed.join(nodes.select(F.col("component").alias("guest"), "node"), "guest")
-    hosts = guests.groupBy("host").agg(F.max("host_n").alias("host_n"), F.count("*").alias("guest_n"))
-    hosts = hosts.select("host", F.ceil(F.col("host_n") / HOST_CHUNK).cast("int").alias("h_parts"), F.ceil(F.col("guest_n") / GUEST_CHUNK).cast("int").alias("g_parts"))
+    either = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    placed = tables.written(sized.select(either("x", "y", "host"), either("y", "x", "guest"), either("nx", "ny", "host_n"), either("sx", "sy", "host_s")), "placed")
+    guests = placed.join(nodes.select(F.col("component").alias("guest"), "node", "size"), "guest")
+    hosts = guests.groupBy("host").agg(F.max("host_n").alias("host_n"), F.max("host_s").alias("host_s"), F.count("*").alias("guest_n"), F.sum("size").alias("guest_s"))
+    hosts = hosts.select("host", chunks("host_n", "host_s", HOST_CHUNK).alias("h_parts"), chunks("guest_n", "guest_s", GUEST_CHUNK).alias("g_parts"))
     # read from a table, so that both sides of the joins below are plain shuffles, whose skewed partitions adaptive execution splits
     hosts = tables.written(hosts, "hosts")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = hosts.join(nodes.select(F.col("component").alias("host"), "node"), "host")
+    own = hosts.join(nodes.select(F.col("component").alias("host"), "node", "size"), "host")
     rows = (
-        own.select("host", F.lit(None).cast("long").alias("guest"), "node", part("h_parts").alias("h"), every("g_parts").alias("g"))
-        .unionByName(guests.join(hosts, "host").select("host", "guest", "node", part("g_parts").alias("g"), every("h_parts").alias("h")))
+        own.select("host", F.lit(None).cast("long").alias("guest"), "node", "size", part("h_parts").alias("h"), every("g_parts").alias("g"))
+        .unionByName(guests.join(hosts, "host").select("host", "guest", "node", "size", part("g_parts").alias("g"), every("h_parts").alias("h")))
     )
     rows = tables.written(rows, "rows")
     texts = _texts(docs, rows.select("node").distinct())
-    buckets = max(64, rows.count() // GROUP_ROWS)
+    n, shingles = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(64, n // GROUP_ROWS, shingles // GROUP_SHINGLES)
 
     def run(group: pa.Table) -> pa.Table:
         coded = group.column("text").combine_chunks().dictionary_encode()
@@ -375,9 +411,9 @@ def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFr
     """(node, component) of nodes linked with another node; `scanned` is a written scan()."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(scanned))
-    total = scanned.agg(F.sum("n_shingles")).first()[0] or 0
+    total, sets = scanned.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("node")).first()
     buckets = max(64, int(total * (101 - percent) / 100 // 200_000))
-    lists = tables.written(shared_lists(postings(docs, levels, percent, buckets)), "lists")
+    lists = tables.written(shared_lists(postings(docs, levels, percent, buckets, max(64, sets // LONG_PART))), "lists")
 
     near = lists.filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
     best = near.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
@@ -396,7 +432,7 @@ def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFr
 def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) for every row of docs (doc_id, text, ...).
 
-    component_id is the smallest doc_id reachable by links, itself included.
+    component_id is the smallest doc_id reachable by links, itself included; doc_id keeps its type.
     Null or wordless texts have an empty set and link with nothing; texts under
     five words are one shingle; exact copies link; a null doc_id keeps its row
     and is the component only of a class without other ids; repeated rows give
@@ -423,19 +459,18 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows without words all stay. Of repeated rows of the kept doc_id and text one stays.
     """
     classes = join_classes(docs, percent)
+    key, node, ident = tables.free_names(docs, "key", "node", "ident")
     stays = F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    out = classes.filter(stays).select(F.col("doc_id").alias("_tidemark_id"), F.col("node").alias("_tidemark_node")).distinct()
-    keyed = with_node(docs)
-    kept = keyed.filter("_tidemark_key is not null").join(
-        out, (F.col("doc_id").eqNullSafe(F.col("_tidemark_id"))) & (F.col("_tidemark_key") == F.col("_tidemark_node")), "left_semi"
-    )
-    kept = kept.dropDuplicates(["doc_id", "_tidemark_key"])
-    return kept.unionByName(keyed.filter("_tidemark_key is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = classes.filter(stays).select(F.col("doc_id").alias(ident), F.col("node").alias(node)).distinct()
+    keyed = with_node(docs, key)
+    kept = keyed.filter(F.col(key).isNotNull()).join(out, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(node)), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", key])
+    return kept.unionByName(keyed.filter(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def with_node(docs: DataFrame) -> DataFrame:
-    """docs with the set key of each text as column _tidemark_key."""
-    schema = StructType([*docs.schema.fields]).add("_tidemark_key", LongType())
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the set key of each text as a column of that name."""
+    schema = tables.schema_with(docs, docs.columns, f"{name} long")
 
     def run(batches):
         for batch in batches:

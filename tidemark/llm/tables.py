@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.session import shared_folder
 
@@ -41,6 +41,23 @@ def forget_at_end(spark: SparkSession, path: str) -> None:
     atexit.register(_delete, spark, path)
 
 
+class Appended:
+    """A Parquet table in the shared folder that results are added to, one after the other."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, name: str):
+        self.spark, self.schema, self.path = spark, schema, f"{shared_folder(spark)}/tidemark/{name}-{fresh()}"
+        self.empty = True
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+        if self.empty:
+            forget_at_end(self.spark, self.path)
+        self.empty = False
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def small(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
     """written(df), marked for broadcast if it has at most `rows` rows; beyond that joins shuffle it."""
     out = written(df, name)
@@ -48,8 +65,18 @@ def small(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
 
 
 def schema_with(df: DataFrame, columns: list[str], more: str) -> StructType:
-    """The given columns of df, as they are, then those of the DDL text `more`."""
-    return StructType([*[df.schema[c] for c in columns], *StructType.fromDDL(more).fields])
+    """The given columns of df with their types, then those of the DDL text `more`; all may be null."""
+    return StructType([*[StructField(c, df.schema[c].dataType) for c in columns], *StructType.fromDDL(more).fields])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has one, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def skew_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -94,11 +121,27 @@ def bitmap(cells: DataFrame, **kinds: Column) -> DataFrame:
 def with_cells(rows: DataFrame, hash64: Column, held: DataFrame, bits: int) -> DataFrame:
     """rows with a boolean column for each kind of bitmap(): whether the row's cell holds such a row."""
     kinds = [c for c in held.columns if c != "block"]
-    at = rows.withColumn("_cell", cell(hash64, bits)).withColumn("_block", F.shiftright("_cell", 12))
-    joined = at.join(F.broadcast(held.withColumnsRenamed({"block": "_block"} | {k: f"_bits_{k}" for k in kinds})), "_block", "left")
-    word, place = F.expr("cast(shiftright(_cell, 6) & 63 as int) + 1"), F.expr("cast(_cell & 63 as int)")
-    flag = lambda k: F.coalesce(F.call_function("getbit", F.element_at(F.col(f"_bits_{k}"), word), place) == 1, F.lit(False))
-    return joined.withColumns({k: flag(k) for k in kinds}).drop("_cell", "_block", *[f"_bits_{k}" for k in kinds])
+    at, block, *held_bits = free_names(rows, "_cell", "_block", *[f"_bits_{k}" for k in kinds])
+    numbered = rows.withColumn(at, cell(hash64, bits)).withColumn(block, F.shiftright(at, 12))
+    joined = numbered.join(F.broadcast(held.withColumnsRenamed({"block": block} | dict(zip(kinds, held_bits)))), block, "left")
+    word, place = F.expr(f"cast(shiftright({at}, 6) & 63 as int) + 1"), F.expr(f"cast({at} & 63 as int)")
+    flag = lambda c: F.coalesce(F.call_function("getbit", F.element_at(F.col(c), word), place) == 1, F.lit(False))
+    return joined.withColumns({k: flag(c) for k, c in zip(kinds, held_bits)}).drop(at, block, *held_bits)
+
+
+def without(rows: DataFrame, hash64: Column, key: Column, named: DataFrame) -> DataFrame:
+    """The rows, all columns, whose key isn't among `named` (hash, digest); hash64 is the hash of a row's key there.
+
+    Rows in no named hash's cell are kept without a join, so only named keys' rows, and few others, are ever shuffled.
+    """
+    named = small(named.distinct(), "named")
+    width = cell_bits(named.count())
+    kind, digest = free_names(rows, "_named", "_digest")
+    held = bitmap(named.select(cell(F.col("hash"), width).alias("cell")), **{kind: F.lit(True)})
+    marked = with_cells(rows, hash64, held, width)
+    keys = named.select(F.col("digest").alias(digest))
+    maybe = marked.filter(F.col(kind)).drop(kind)
+    return marked.filter(~F.col(kind)).drop(kind).unionByName(maybe.join(keys, key == F.col(digest), "left_anti")).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def drop(*tables: DataFrame) -> None:
