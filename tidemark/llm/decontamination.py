@@ -2,10 +2,12 @@
 
 Words are runs of letters, digits and non-ASCII characters of the text in NFKC,
 case-folded in every script. The benchmark is taken in
-blocks of bounded size, each sent to every task. One pass over the documents
+blocks of bounded size, one after the other, each sent to every task and deleted after its
+two passes. One pass over the documents
 counts in how many of them each gram of the block's items occurs, a gram being
 two words next to each other or with one between. An item's seeds are the grams
-of its rarest places. A second pass looks the seeds up in every document; where
+of the places that would cost least: occurrences in documents times the items that
+share the gram, so a template common to many items is the last to seed any. A second pass looks the seeds up in every document; where
 they hit, the item is aligned locally with the stretch of the document around
 the hits, word by word, so paraphrased and edited copies score too. A document
 leaks an item if the score reaches a share of the item's own (2 for a match, -1
@@ -16,11 +18,13 @@ The seeds lose no leak. An alignment of k matches and edits of cost e scores
 at most one word between on either side, so both sides share a gram there; the
 others cost 2 or more. With x steps of the first kind e is at least
 2(k - 1 - x), so a score of 2 * least * n needs x >= least * n - 1 places. Of
-the n - 1 places of an item, all but one less than so many are seeds: one hits.
+the n - 1 places of an item, all but one less than so many are seeds: one hits,
+whatever the order that seeds are chosen in.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tidemark.llm import textops
+from tidemark.llm import tables, textops
 
 LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -60,11 +65,12 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 @dataclass
 class Block:
-    ids: list[int]
+    ids: pa.Array
     words: list[np.ndarray]
-    #: Of each item its grams and the place of each one's first word.
-    grams: list[np.ndarray]
-    places: list[np.ndarray]
+    #: Of every gram of every item: its hash, its item's number and its first word's place there.
+    grams: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
 
 
 def _grams(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +97,18 @@ class Lookup:
 
 
 def _block(items: pa.Table) -> Block:
-    block = Block([], [], [], [])
-    ids = items.column("item_id").to_pylist()
+    ids, kept, found, parts = items.column("item_id").combine_chunks(), [], [], [[], [], []]
     for first, count, rows, words in _words(items.column("text")):
         cuts = np.searchsorted(rows, np.arange(count + 1))
         for row, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b - a >= LEAST_WORDS:
                 grams, places = _grams(np.zeros(b - a, np.int64), words[a:b])
-                block.ids.append(ids[first + row])
-                block.words.append(words[a:b].copy())
-                block.grams.append(grams)
-                block.places.append(places)
-    return block
+                for part, x in zip(parts, (grams, np.full(len(grams), len(kept)), places)):
+                    part.append(x)
+                kept.append(first + row)
+                found.append(words[a:b].copy())
+    none = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    return Block(ids.take(pa.array(kept, pa.int64())), found, *[np.concatenate([n, *part]) for n, part in zip(none, parts)])
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
@@ -116,9 +122,8 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
         yield _block(table)
 
 
-def gram_frequencies(docs: DataFrame, block: Block) -> dict[int, int]:
-    """In how many rows of docs each gram of the block occurs (those that do)."""
-    wanted = np.unique(np.concatenate(block.grams)) if block.grams else np.zeros(0, np.uint64)
+def gram_frequencies(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """In how many rows of docs each of the grams, sorted and distinct, occurs."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -134,61 +139,86 @@ def gram_frequencies(docs: DataFrame, block: Block) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["at", "n"])
 
-    if not len(wanted):
-        return {}
     found = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    return {int(wanted[a]): n for a, n in zip(found.column("at").to_pylist(), found.column("n").to_pylist())}
+    shared.destroy()
+    out = np.zeros(len(wanted), np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 @dataclass
 class Index:
     """Seeds of a block, sorted, with the item and the place in it of each."""
 
-    ids: list[int]
+    ids: pa.Array
     words: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray
     offset: np.ndarray
 
 
-def index(block: Block, frequency: dict[int, int], least: float = LEAST_SCORE) -> Index:
-    seeds, item, offset = [], [], []
-    for i, (grams, places) in enumerate(zip(block.grams, block.places)):
-        n = len(block.words[i])
-        seen = np.bincount(places, [frequency.get(int(g), 0) for g in grams], n - 1)
+def index(block: Block, wanted: np.ndarray, frequency: np.ndarray, least: float = LEAST_SCORE) -> Index:
+    """The seeds of a block whose distinct grams are `wanted`, found in `frequency` documents each."""
+    at = np.searchsorted(wanted, block.grams)
+    once = np.unique(block.item * len(wanted) + at) % max(1, len(wanted))
+    cost = frequency.astype(float) * np.bincount(once, minlength=len(wanted))
+    cuts = np.searchsorted(block.item, np.arange(len(block.words) + 1))
+    chosen = np.zeros(len(block.grams), bool)
+    for words, a, b in zip(block.words, cuts, cuts[1:]):
+        n, places = len(words), block.place[a:b]
+        seen = np.bincount(places, cost[at[a:b]], n - 1)
         # the rounding of least * n may only add a seed
         shared = max(1, int(np.ceil(least * n - 1 - 1e-9)))
-        rarest = np.zeros(n - 1, bool)
-        rarest[np.argsort(seen, kind="stable")[: n - shared]] = True
-        chosen = rarest[places]
-        seeds.append(grams[chosen])
-        item.append(np.full(chosen.sum(), i))
-        offset.append(places[chosen])
-    order = np.argsort(np.concatenate(seeds), kind="stable")
-    return Index(block.ids, block.words, *(np.concatenate(x)[order] for x in (seeds, item, offset)))
+        cheapest = np.zeros(n - 1, bool)
+        cheapest[np.argsort(seen, kind="stable")[: n - shared]] = True
+        chosen[a:b] = cheapest[places]
+    order = np.flatnonzero(chosen)[np.argsort(block.grams[chosen], kind="stable")]
+    return Index(block.ids, block.words, block.grams[order], block.item[order], block.place[order])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(best local alignment score of item against text, where it ends in text)."""
-    reach = np.arange(len(text) + 1) * -GAP
-    row, best, end = np.zeros(len(text) + 1, np.int64), 0, 0
-    for word in item:
-        now = np.zeros(len(text) + 1, np.int64)
-        now[1:] = row[:-1] + np.where(text == word, MATCH, MISMATCH)
-        np.maximum(now, row + GAP, out=now)
+    score, end = align_many([item], [text])
+    return int(score[0]), int(end[0])
+
+
+def align_many(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """align() of each item with its text, all at once: a step takes one word of every item."""
+    order = np.argsort([-len(x) for x in items], kind="stable")
+    sizes, lengths = np.array([len(items[i]) for i in order]), np.array([len(texts[i]) for i in order])
+    query, text = np.zeros((len(order), sizes.max(initial=0)), np.uint64), np.zeros((len(order), lengths.max(initial=0)), np.uint64)
+    for row, i in enumerate(order):
+        query[row, : sizes[row]], text[row, : lengths[row]] = items[i], texts[i]
+    inside = np.arange(text.shape[1])[None] < lengths[:, None]
+    reach = np.arange(text.shape[1] + 1, dtype=np.int32) * -GAP
+    row, best, end = np.zeros((len(order), text.shape[1] + 1), np.int32), np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    for step in range(query.shape[1]):
+        n = int(np.searchsorted(-sizes, -step))  # items that have a word left
+        now = np.zeros((n, row.shape[1]), np.int32)
+        same = (text[:n] == query[:n, step, None]) & inside[:n]
+        now[:, 1:] = row[:n, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
+        np.maximum(now, row[:n] + np.int32(GAP), out=now)
         np.maximum(now, 0, out=now)
         # gaps along the text: the best start before, less its distance
-        now = np.maximum.accumulate(now + reach) - reach
+        now = np.maximum.accumulate(now + reach, axis=1) - reach
         row = now
-        at = int(row.argmax())
-        if row[at] > best:
-            best, end = int(row[at]), at
-    return best, end
+        at = now.argmax(1)
+        top = now[np.arange(n), at]
+        better = top > best[:n]
+        best[:n][better], end[:n][better] = top[better], at[better]
+    back = np.argsort(order)
+    return best[back], end[back]
+
+
+#: Cells of the tables that align_many fills at once.
+ALIGN_CELLS = 1 << 18
 
 
 def hits(column: pa.Array, known: Index, least: float = LEAST_SCORE):
     """(row, item number, score 0 to 1, first and last word) of the leaks in each text; of an item its best stretch."""
-    lookup = Lookup(known.seeds)
+    lookup, item_size = Lookup(known.seeds), np.array([len(w) for w in known.words])
+    # edits of a leak cost no more than its matches score above the least
+    item_pad = np.ceil(MATCH * item_size * (1 - least)).astype(np.int64) + 1
     for first, count, rows, words in _words(column):
         hashes, at = _grams(rows, words)
         found, lo = lookup.find(hashes)
@@ -200,74 +230,86 @@ def hits(column: pa.Array, known: Index, least: float = LEAST_SCORE):
         row, item, start = rows[at[gram]], known.item[seed], at[gram] - known.offset[seed]
         order = np.lexsort((start, item, row))
         row, item, start = row[order], item[order], start[order]
-        size = np.array([len(known.words[i]) for i in item])
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
-        cuts = [*np.flatnonzero(new).tolist(), len(row)]
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > item_size[item[1:]])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(row)) - 1
         row_start = np.searchsorted(rows, np.arange(count + 1))
+        row, item, pad = row[a], item[a], item_pad[item[a]]
+        low = np.maximum(row_start[row], start[a] - pad)
+        high = np.minimum(row_start[row + 1], start[b] + item_size[item] + pad)
+        # no alignment scores more than all common words
+        open_ = [k for k in range(len(a)) if np.isin(known.words[item[k]], words[low[k] : high[k]]).sum() >= least * item_size[item[k]]]
+        open_.sort(key=lambda k: low[k] - high[k])
         best: dict[tuple[int, int], tuple] = {}
-        for a, b in zip(cuts, cuts[1:]):
-            r, i = int(row[a]), int(item[a])
-            query = known.words[i]
-            # edits of a leak cost no more than its matches score above the least
-            pad = int(np.ceil(MATCH * len(query) * (1 - least))) + 1
-            low = max(int(row_start[r]), int(start[a]) - pad)
-            high = min(int(row_start[r + 1]), int(start[b - 1]) + len(query) + pad)
-            stretch, full = words[low:high], MATCH * len(query)
-            # no alignment scores more than all common words
-            if MATCH * np.isin(query, stretch).sum() < least * full:
-                continue
-            score, end = align(query, stretch)
-            if score >= least * full and score > best.get((r, i), (0,))[0]:
-                best[r, i] = (score, score / full, low + end - int(row_start[r]))
-        for (r, i), (_, share, end) in best.items():
-            yield first + r, i, share, max(0, end - len(known.words[i])), end
+        at = 0
+        while at < len(open_):
+            most = max(1, ALIGN_CELLS // int(high[open_[at]] - low[open_[at]] + 1))
+            batch, at = open_[at : at + most], at + most
+            scores, ends = align_many([known.words[item[k]] for k in batch], [words[low[k] : high[k]] for k in batch])
+            for k, score, end in zip(batch, scores.tolist(), ends.tolist()):
+                r, i = int(row[k]), int(item[k])
+                full, end = MATCH * int(item_size[i]), int(low[k]) + end - int(row_start[r])
+                # of equal scores the first in the text
+                if score >= least * full and (score, -end) > best.get((r, i), (0, 0))[:2]:
+                    best[r, i] = (score, -end, score / full)
+        for (r, i), (_, end, share) in sorted(best.items()):
+            yield first + r, i, share, max(0, -end - int(item_size[i])), -end
+
+
+def _each_block(docs: DataFrame, benchmark: DataFrame, least: float) -> Iterator:
+    """The seed index of each block as a broadcast, one at a time: it is deleted when the next is asked for."""
+    for block in blocks(benchmark):
+        if len(block.ids):
+            wanted = np.unique(block.grams)
+            shared = docs.sparkSession.sparkContext.broadcast(index(block, wanted, gram_frequencies(docs, wanted), least))
+            yield shared
+            shared.destroy()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of each document and item that it leaks.
 
-    Null and empty texts leak nothing; a null doc_id or item_id is carried; repeated rows
+    Both ids keep their types. Null and empty texts leak nothing; a null doc_id or item_id is carried; repeated rows
     repeat; an empty table of either gives an empty result. last_word is where the
     alignment ends among the document's words, first_word about where it begins.
     """
-    schema = "doc_id long, item_id long, score double, first_word long, last_word long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for known in _indexes(docs, benchmark, least):
+    schema = tables.schema_with(docs, ["doc_id"], "score double, first_word long, last_word long")
+    schema = StructType([schema.fields[0], StructField("item_id", benchmark.schema["item_id"].dataType), *schema.fields[1:]])
+    out = tables.Appended(docs.sparkSession, schema, "leaks")
+    for known in _each_block(docs, benchmark, least):
 
         def run(batches, shared=known):
             for batch in batches:
                 found = list(hits(batch.column("text"), shared.value, least))
-                ids = batch.column("doc_id")
                 columns = [
-                    ids.take(pa.array([f[0] for f in found], pa.int64())),
-                    pa.array([shared.value.ids[f[1]] for f in found], pa.int64()),
+                    batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())),
+                    shared.value.ids.take(pa.array([f[1] for f in found], pa.int64())),
                     pa.array([f[2] for f in found], pa.float64()),
                     pa.array([f[3] for f in found], pa.int64()),
                     pa.array([f[4] for f in found], pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "first_word", "last_word"])
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+        out.add(docs.select("doc_id", "text").mapInArrow(run, schema))
+    return out.table()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, that leak no item."""
-    for known in _indexes(docs, benchmark, least):
+    """The rows of docs, all columns, that leak no item; null texts stay.
+
+    Each block's pass names the leaking texts by a hash and a digest. The rows
+    that go are then those whose text is named: rows in no named hash's cell stay where they
+    are, the few others are compared by digest.
+    """
+    named = tables.Appended(docs.sparkSession, StructType.fromDDL("hash long, digest string"), "leaking")
+    for known in _each_block(docs, benchmark, least):
 
         def run(batches, shared=known):
             for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for row, *_ in hits(batch.column("text"), shared.value, least):
-                    keep[row] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
+                found = sorted({row for row, *_ in hits(batch.column("text"), shared.value, least)})
+                digests = [hashlib.sha256(batch.column("text")[row].as_buffer()).hexdigest() for row in found]
+                yield pa.RecordBatch.from_arrays([batch.column("hash").take(pa.array(found, pa.int64())), pa.array(digests, pa.string())], ["hash", "digest"])
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, least: float) -> list:
-    """The seed index of each block, as broadcasts."""
-    context = docs.sparkSession.sparkContext
-    return [context.broadcast(index(block, gram_frequencies(docs, block), least)) for block in blocks(benchmark) if block.ids]
+        named.add(docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "hash long, digest string"))
+    return tables.without(docs, F.xxhash64("text"), F.sha2("text", 256), named.table())
