@@ -100,6 +100,47 @@ def test_jaccard_join_on_documents_equals_brute_force(spark):
     assert got == brute_classes({r.doc_id: r.text for r in docs.collect()})
 
 
+def test_jaccard_join_of_shared_boilerplate_stays_in_proportion(spark, monkeypatch):
+    """Texts that share 100 words and have 26 or 17 of their own link with nothing, and their common lists don't enter a join."""
+    real, seen = jaccard_join._entering, []
+
+    def counted(lists, percent):
+        sides = real(lists, percent)
+        seen.append(max(side.count() for side in sides))
+        return sides
+
+    monkeypatch.setattr(jaccard_join, "_entering", counted)
+    common = " ".join(f"b{k}" for k in range(100))
+    for n in (400, 1600):
+        texts = [f"{common} " + " ".join(f"u{i}_{k}" for k in range(26 if i % 2 else 17)) for i in range(n)]
+        rows = jaccard_join.join_classes(docs_of(spark, texts)).collect()
+        assert all(r.doc_id == r.component_id for r in rows) and len(rows) == n
+    assert seen[1] <= 4 * max(seen[0], 100)
+
+
+def test_jaccard_join_across_size_bands_equals_brute_force(spark):
+    """Sets of many sizes at the edge of the threshold: subsets and supersets of one another, with shared boilerplate."""
+    rng = random.Random(8)
+    common, texts = [f"b{k}" for k in range(60)], []
+    for i in range(120):
+        own = [f"o{i % 12}_{k}" for k in range(rng.randrange(5, 120))]
+        texts.append(" ".join([*common[: rng.randrange(61)], *own, *[f"u{i}_{k}" for k in range(rng.randrange(12))]]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_classes(docs_of(spark, texts)).collect()}
+    want = brute_classes(dict(enumerate(texts)))
+    assert got == want and len({c for _, c in want.values()}) < 115
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_jaccard_join_keeps_the_type_of_ids_and_clashing_columns(spark, kind):
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", None, "", "z y x w v u"])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({c: F.lit("mine") for c in ("key", "KEY_", "node", "ident", "component_id", "_tidemark_key")})
+    out = jaccard_join.join_classes(docs)
+    assert dict(out.dtypes)["component_id"] == kind and {(str(r.doc_id), str(r.component_id)) for r in out.collect()} == {("0", "0"), ("1", "0"), ("2", "2"), ("3", "3"), ("4", "4")}
+    kept = jaccard_join.first_of_each(docs)
+    assert kept.dtypes == docs.dtypes and sorted(str(r.doc_id) for r in kept.collect()) == ["0", "2", "3", "4"]
+    assert jaccard_join.join_classes(docs.limit(0)).count() == 0 and jaccard_join.first_of_each(docs.limit(0)).count() == 0
+
+
 def test_first_of_each_keeps_rows_and_columns(spark):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", None, "", "z y x w v u"]).withColumn("node", F.lit("mine"))
     out = jaccard_join.first_of_each(docs.unionByName(docs.filter("doc_id = 0")))
@@ -309,6 +350,51 @@ def test_decontamination_query_equals_brute_force(spark):
     assert want and {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, SF).collect()} == want
 
 
+def test_decontamination_block_by_block(spark, monkeypatch):
+    """In many blocks the same leaks, whatever the ids' type; each block's broadcast is gone before the next is made."""
+    rng = random.Random(4)
+    items = [" ".join(f"v{rng.randrange(500)}" for _ in range(20)) for _ in range(60)]
+    docs = docs_of(spark, [*EDGE, *[f"pad {i} " * 5 + " ".join(items[i].split()[: 9 + i % 12]) for i in range(60)], items[3], items[3]])
+    docs = docs.withColumns({c: F.lit("mine") for c in ("hash", "digest", "_cell", "_named", "_block", "score")}).withColumn("doc_id", F.col("doc_id").cast("int"))
+    table = spark.createDataFrame([(f"i{i}", t, 1) for i, t in enumerate(items)] + [(None, items[5], 2), ("none", None, 3)], "item_id string, text string, score int")
+    one = sorted(map(str, decontamination.leaks(docs, table).collect()))
+    real, alive, seen = decontamination.blocks, [], []
+    monkeypatch.setattr(decontamination, "blocks", lambda benchmark: real(benchmark, 200))
+    context = type(spark.sparkContext)
+    broadcast = context.broadcast
+
+    def counted(self, value):
+        out = broadcast(self, value)
+        if isinstance(value, decontamination.Index):
+            alive.append(out)
+            destroy = out.destroy
+            out.destroy = lambda *a: (alive.remove(out), destroy(*a))
+            seen.append(len(alive))
+        return out
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    out = decontamination.leaks(docs, table)
+    assert sorted(map(str, out.collect())) == one and len(one) > 40 and dict(out.dtypes)["doc_id"] == "int" and dict(out.dtypes)["item_id"] == "string"
+    assert len(seen) > 20 and set(seen) == {1} and not alive
+    leaking = {r.doc_id for r in out.collect()}
+    kept = decontamination.clean(docs, table)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.doc_id for r in docs.collect()} - leaking)
+
+
+def test_a_template_shared_by_items_is_no_seed():
+    """Of 300 items that share 15 of 60 words none is aligned with a text that holds those words alone; with more of an item it is."""
+    template = [f"t{k}" for k in range(15)]
+    items = [[f"o{i}_{k}" for k in range(25)] + template + [f"p{i}_{k}" for k in range(20)] for i in range(300)]
+    block = decontamination._block(pa.table({"item_id": list(range(300)), "text": [" ".join(w) for w in items]}))
+    wanted = np.unique(block.grams)
+    known = decontamination.index(block, wanted, np.ones(len(wanted), np.int64))
+    text = " ".join(["x"] * 50 + template + ["y"] * 50)
+    (_, _, rows, words), = decontamination._words(pa.array([text]))
+    assert not np.isin(decontamination._grams(rows, words)[0], known.seeds).any()
+    found = list(decontamination.hits(pa.array([text, text + " " + " ".join(items[7][:40])]), known))
+    assert [(f[0], f[1]) for f in found] == [(1, 7)]
+
+
 def test_alignment_equals_plain_dynamic_programming():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -318,6 +404,9 @@ def test_alignment_equals_plain_dynamic_programming():
             for j in range(1, 21):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
         assert decontamination.align(a, b)[0] == h.max()
+    items = [rng.integers(0, 6, rng.integers(1, 15)).astype(np.uint64) for _ in range(40)]
+    texts = [rng.integers(0, 6, rng.integers(0, 30)).astype(np.uint64) for _ in range(40)]
+    assert list(zip(*map(list, decontamination.align_many(items, texts)))) == [decontamination.align(a, b) for a, b in zip(items, texts)]
 
 
 def test_token_counts_equal_plain_dynamic_programming(spark):
