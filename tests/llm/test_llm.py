@@ -6,6 +6,7 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -409,20 +410,68 @@ def test_alignment_equals_plain_dynamic_programming():
     assert list(zip(*map(list, decontamination.align_many(items, texts)))) == [decontamination.align(a, b) for a, b in zip(items, texts)]
 
 
-def test_token_counts_equal_plain_dynamic_programming(spark):
+def plain_count(scores, word, unknown):
+    """The tokens of the best cut by plain dynamic programming over all starts."""
+    raw = word.encode("utf-8", "replace")
+    best = [(0.0, 0)]
+    for end in range(1, len(raw) + 1):
+        options = [(best[s][0] + scores[raw[s:end]], best[s][1] - 1) for s in range(end) if raw[s:end] in scores]
+        best.append(max([*options, (best[-1][0] + unknown, best[-1][1] - 1)]))
+    return -best[-1][1]
+
+
+WORDS = ["a", " the", "thethe", "then", " réeuxpa", "日本語", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\x00\x01", "", "the" * 40, "\ud800"]
+
+
+def test_token_counts_equal_plain_dynamic_programming():
     scores = token_counts.load_scores()
-    trie = token_counts.Trie(scores, most_nodes=50)
+    known = token_counts.Vocabulary(scores)
+    want = [plain_count(scores, w, known.unknown) for w in WORDS]
+    raws = [w.encode("utf-8", "replace") for w in WORDS]
+    assert known.count(raws).tolist() == want == [known.count_long(r) for r in raws]
+    counter = token_counts.Counter(known, most=3)
+    for _ in range(3):
+        assert counter.totals([[w] for w in WORDS]) == want and counter.totals([WORDS, []]) == [sum(want), 0]
+    # a small vocabulary: ties between cuts, and bytes that are in no token
+    rng = random.Random(6)
+    for _ in range(20):
+        few = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 5))): -float(rng.randrange(1, 5)) for _ in range(rng.randrange(9))}
+        small = token_counts.Vocabulary(few)
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(60)]
+        want = [plain_count(few, w, small.unknown) for w in words]
+        assert small.count([w.encode() for w in words]).tolist() == want == [small.count_long(w.encode()) for w in words]
+
+
+def test_token_counts_of_very_long_pre_tokens_in_bounded_memory():
+    known = token_counts.Vocabulary(token_counts.load_scores())
+    counter = token_counts.Counter(known)
+    word = "abcdefghij" * 200_000
+    tracemalloc.start()
+    assert counter.totals([[word], ["a"]]) == [1_000_000, 1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the vocabulary's tables and the word's bytes, not a node for each byte
+    assert most < 60_000_000 and list(counter.stored) == ["a"]
+
+
+def test_token_count_pieces_have_the_texts_pre_tokens(monkeypatch):
+    import regex
 
-    def plain(word):
-        raw, best = word.encode(), [(0.0, 0)]
-        for end in range(1, len(raw) + 1):
-            best.append(max((best[s][0] + scores[raw[s:end]], best[s][1] - 1) for s in range(end) if raw[s:end] in scores))
-        return -best[-1][1]
-
-    for word in ["a", " the", "thethe", "then", " réeuxpa", "日本語", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\x00\x01", ""]:
-        assert trie.count(word) == plain(word) == trie.count(word)
-    rows = token_counts.counted(docs_of(spark, EDGE)).collect()
-    assert [(r.n_pre_tokens, r.n_tokens) for r in rows[:2]] == [(0, 0), (0, 0)] and rows[3].n_tokens == rows[4].n_tokens > 0
+    monkeypatch.setattr(token_counts, "PIECE", 40)
+    for text in [*filter(None, EDGE[:9]), "a  b   c\n\n d" * 30, " " * 400, "x" + " " * 300 + "y", "it's  we'll\t1234 \u00a0 é!? " * 40, "word" * 100 + " z"]:
+        parts = list(token_counts.pieces(text))
+        assert "".join(parts) == text and [w for p in parts for w in regex.findall(token_counts.PRE_TOKEN, p)] == regex.findall(token_counts.PRE_TOKEN, text)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_token_counts_of_edge_texts(spark, kind):
+    docs = docs_of(spark, EDGE).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({c: F.lit("mine") for c in ("n_tokens", "n_pre_tokens")})
+    out = token_counts.counted(docs.unionByName(docs))
+    assert out.columns == ["doc_id", "n_pre_tokens", "n_tokens"] and dict(out.dtypes)["doc_id"] == kind
+    rows = {r.doc_id: (r.n_pre_tokens, r.n_tokens) for r in out.collect()}
+    at = lambda i: rows[int(i) if kind == "int" else str(i)]
+    assert len(rows) == len(EDGE) and at(0) == at(1) == (0, 0) and at(3) == at(4) and at(3)[1] > 0 and at(9)[0] == 40_001
+    assert token_counts.counted(docs.limit(0)).count() == 0
 
 
 def test_token_count_query_equals_plain_dynamic_programming(spark):
