@@ -582,6 +582,104 @@ def test_scorers_replace_clashing_columns_and_learn_a_repeated_id_once(spark, le
     assert fitting.one_text_each(repeated, "doc_id", "lang").count() == docs.count()
 
 
+def slope(loss, w, step=1e-5):
+    """The gradient of a loss by differences."""
+    out = np.zeros_like(w)
+    for i in np.ndindex(w.shape):
+        up, down = w.copy(), w.copy()
+        up[i] += step
+        down[i] -= step
+        out[i] = (loss(up) - loss(down)) / (2 * step)
+    return out
+
+
+def test_language_decoding_and_gradient_equal_plain_formulas():
+    rng = np.random.default_rng(0)
+    code = language_id.codewords(4)
+    model = language_id.Model(["a", "b", "c", "d"], code, rng.normal(size=(language_id.BUCKETS, code.shape[1])), rng.normal(size=code.shape[1]), rng.uniform(0.1, 2, code.shape[1]))
+    texts = pa.array(["the cat sat", "el niño", "x", "", None, "ÅÄÖ 12"])
+    x = language_id.trigram_features(texts)
+    got = model.losses(texts)
+    for r in range(len(texts)):
+        for k in range(4):
+            want = sum(model.trust[b] * math.log(1 + math.exp(-code[k, b] * (float(x[r] @ model.weights[:, b]) + model.bias[b]))) for b in range(code.shape[1]))
+            assert math.isclose(got[r, k], want, rel_tol=1e-4, abs_tol=1e-5)
+    x, aim, weight = rng.normal(size=(30, 5)), code[rng.integers(0, 4, 30)], rng.uniform(0, 1, 30)
+    loss = lambda w: (np.log1p(np.exp(-aim * (x @ w[:-1] + w[-1]))) * weight[:, None]).sum() + language_id.DECAY / 2 * (w[:-1] ** 2).sum()
+    w = rng.normal(size=(6, code.shape[1]))
+    assert np.allclose(language_id.gradient(x, aim, weight)(w), slope(loss, w), atol=1e-6)
+
+
+def test_quality_risk_and_gradient_equal_plain_formulas():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(size=(40, 4)) + 1, rng.normal(size=(60, 4))
+    minus, plus = lambda x, w: np.log1p(np.exp(x @ w[:-1] + w[-1])).mean(), lambda x, w: np.log1p(np.exp(-(x @ w[:-1] + w[-1]))).mean()
+    decay = lambda w: quality.DECAY / 2 * (w[:-1] ** 2).sum()
+    signs = set()
+    for prior in (0.3, 0.9):
+        at = quality.risk_gradient(p, u, prior)
+        negative = lambda w: minus(u, w) - prior * minus(p, w)
+        for w in rng.normal(size=(8, 5)) * 2:
+            risk, found = at(w)
+            assert math.isclose(risk, negative(w), rel_tol=1e-3, abs_tol=1e-4)
+            signs.add(risk >= 0)
+            want = slope(lambda v: prior * plus(p, v) + negative(v) + decay(v) if risk >= 0 else -negative(v) + decay(v), w)
+            assert np.allclose(found, want, atol=2e-4)
+    assert signs == {True, False}
+
+
+def test_toxicity_words_penalty_and_gradient_equal_plain_formulas(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 15))) + (" vile Vile" if i % 3 == 0 and i % 7 else "") for i in range(400)]
+    toxic = [int(i % 3 == 0) for i in range(400)]
+    sample = spark.createDataFrame(list(zip(toxic, texts)), "toxic int, text string").repartition(3)
+    sets, n, t = [set(x.lower().split()) for x in texts], 400.0, float(sum(toxic))
+
+    def plain_gain(word):
+        have = [int(word in s) for s in sets]
+        a, m = float(sum(h and k for h, k in zip(have, toxic))), float(sum(have))
+        cells = [(a, m * t / n), (m - a, m * (1 - t / n)), (t - a, (n - m) * t / n), (n - m - t + a, (n - m) * (1 - t / n))]
+        return m, sum(o * math.log(max(o, 1e-9) / max(e, 1e-9)) for o, e in cells)
+
+    want = [w for w in {w for s in sets for w in s} if plain_gain(w)[0] >= toxicity.LEAST_ROWS and plain_gain(w)[1] >= toxicity.LEAST_GAIN]
+    assert "vile" in want and set(toxicity.choose_words(sample, 400, int(t))) == set(toxicity.word_keys(want))
+    assert len(toxicity.choose_words(sample, 400, int(t), 1)) == 1
+
+    x = rng.integers(0, 2, (30, 6)).astype(float)
+    kinds, weight, mark = [np.array([0, 3]), np.array([1, 4, 5])], rng.uniform(0, 1, 30), rng.integers(0, 2, 30)
+    difference = toxicity.swaps(x, kinds)
+    rows = []
+    for row in x:
+        if row[[0, 3, 1, 4, 5]].any():
+            moved = row.copy()
+            moved[[3, 0]], moved[[4, 5, 1]] = row[[0, 3]], row[[1, 4, 5]]
+            rows.append(row - moved)
+    assert (difference[: len(rows)] == np.array(rows)).all() and len(difference) == len(rows) + 5 and (difference.sum(1) == 0).all()
+
+    def loss(w):
+        f = x @ w[:-1] + w[-1]
+        return (weight * (np.logaddexp(0, f) - mark * f)).sum() + 10.0 / 2 * np.mean((difference @ w[:-1]) ** 2) + toxicity.DECAY / 2 * (w[:-1] ** 2).sum()
+
+    w = rng.normal(size=7)
+    assert np.allclose(toxicity.gradient(x, mark, weight, difference, 10.0)(w), slope(loss, w), atol=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_trained_operators_with_ids_of_any_type_and_empty_tables(spark, learned, kind):
+    docs, labels = (df.filter("doc_id < 300").withColumn("doc_id", F.col("doc_id").cast(kind)) for df in learned)
+    clash = docs.withColumns({c: F.lit("mine") for c in ("quality", "toxic", "kind", "_share", "words")})
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()} > {"en"}
+    for operator in (quality, toxicity):
+        model = operator.fit(clash, labels)
+        rows = operator.score(clash, model).select("doc_id", "score").collect()
+        assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+        again = operator.score(clash, operator.fit(clash.repartition(7), labels.repartition(3))).select("doc_id", "score").collect()
+        assert dict(map(tuple, again)) == pytest.approx(dict(map(tuple, rows)))
+        for none in (operator.fit(clash.limit(0), labels), operator.fit(clash, labels.limit(0)), operator.fit(clash.limit(0), labels.limit(0))):
+            assert operator.score(docs.limit(0), none).count() == 0 and len({r.score for r in operator.score(docs.limit(9), none).select("score").collect()}) == 1
+
+
 def test_codewords_are_apart():
     for k in (1, 2, 3, 4, 6, 9, 40):
         code = language_id.codewords(k)

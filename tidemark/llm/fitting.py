@@ -35,6 +35,11 @@ def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("text").alias("text"))
 
 
+def order_of(ids: list, *then: list) -> np.ndarray:
+    """The places of rows in the order of their ids, of any one type, nulls first, and of what follows."""
+    return np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, *[t[i] for t in then])), np.int64)
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

@@ -21,6 +21,8 @@ from tidemark.llm import fitting, textops
 BUCKETS = 4096
 #: Bound of the learning sample, shared evenly by the languages.
 MOST_LEARNED = 3000
+#: More languages than this are an error: a model has 4,097 weights for each of its bits, about ten a doubling of the languages.
+MOST_LANGUAGES = 1000
 STEPS, RATE, DECAY = 300, 0.1, 1e-4
 CLEAR_MARGIN = 0.5
 
@@ -74,31 +76,39 @@ class Model:
 
 
 def fit(rows: DataFrame, most: int = MOST_LEARNED) -> Model | None:
-    """A model of rows (doc_id, text, lang) with lang not null, from a sample of about `most`; None without rows."""
+    """A model of rows (doc_id, text, lang) with lang not null, from a sample of about `most`; None without rows. Ids may be of any type."""
     known = rows.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is lang a column of languages?")
     if not languages:
         return None
     sample = fitting.one_text_each(fitting.sampled(known, "lang", max(1, most // len(languages)), "language"), "doc_id", "lang")
     got, x = fitting.features_of(sample, ["doc_id", "lang"], trigram_features)
     label = np.array([languages.index(v) for v in got.column("lang").to_pylist()])
-    order = np.lexsort((label, np.array([v if v is not None else -1 for v in got.column("doc_id").to_pylist()])))
+    order = fitting.order_of(got.column("doc_id").to_pylist(), label.tolist())
     x, label = x[order].astype(np.float64), label[order]
     code = codewords(len(languages))
     aim = code[label]
     # each language weighs the same, however many rows it has
     weight = 1.0 / np.maximum(1, np.bincount(label, minlength=len(languages)))[label] / len(languages)
 
-    def gradient(w):
-        pull = -aim * fitting.logistic(-aim * (x @ w[:-1] + w[-1])) * weight[:, None]
-        return np.vstack([x.T @ pull + DECAY * w[:-1], pull.sum(0, keepdims=True)])
-
-    w = fitting.adam(np.zeros((BUCKETS + 1, code.shape[1])), gradient, STEPS, RATE)
+    w = fitting.adam(np.zeros((BUCKETS + 1, code.shape[1])), gradient(x, aim, weight), STEPS, RATE)
     right = (((x @ w[:-1] + w[-1]) * aim > 0) * weight[:, None]).sum(0)
     trust = np.clip(np.log((right + 1e-3) / (1 - right + 1e-3)), 0.05, None)
     return Model(languages, code, w[:-1], w[-1], trust / trust.sum() * code.shape[1])
 
 
+def gradient(x: np.ndarray, aim: np.ndarray, weight: np.ndarray):
+    """The gradient of the weighted logistic loss of each bit, with half the decay."""
+
+    def at(w):
+        pull = -aim * fitting.logistic(-aim * (x @ w[:-1] + w[-1])) * weight[:, None]
+        return np.vstack([x.T @ pull + DECAY * w[:-1], pull.sum(0, keepdims=True)])
+
+    return at
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score (0 to 1, the share of the best codeword) and ambiguous.
 

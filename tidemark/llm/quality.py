@@ -90,25 +90,34 @@ class Model:
         return out
 
 
-def fit_rows(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
-    """Weights (bias last) of least non-negative risk under the logistic loss."""
+def risk_gradient(positive: np.ndarray, unlabelled: np.ndarray, prior: float):
+    """(the non-negative part of the risk, the gradient to step by) at given weights, bias last.
+
+    The gradient is that of the whole risk, prior * loss(positive, +) + loss(unlabelled, -) - prior * loss(positive, -),
+    while the difference of the last two is 0 or more, and that of the negated difference while it is below; half the decay is added.
+    """
     p, u = (np.asarray(x, np.float32) for x in (positive, unlabelled))
-    size = p.shape[1]
 
     def mean(x, v):
         # products only, so no table of the sample's size is made in a step
         v = v.astype(np.float32)
         return np.append(v @ x, v.sum()).astype(np.float64) / len(x)
 
-    def gradient(w):
+    def at(w):
         weights = w[:-1].astype(np.float32)
         fp, fu = (x @ weights + np.float32(w[-1]) for x in (p, u))
         up = -prior * mean(p, fitting.logistic(-fp))
         negative = mean(u, fitting.logistic(fu)) - prior * mean(p, fitting.logistic(fp))
         risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        return (up + negative if risk >= 0 else -negative) + np.append(DECAY * w[:-1], 0.0)
+        return risk, (up + negative if risk >= 0 else -negative) + np.append(DECAY * w[:-1], 0.0)
 
-    return fitting.adam(np.zeros(size + 1), gradient, STEPS, RATE)
+    return at
+
+
+def fit_rows(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Weights (bias last) of least non-negative risk under the logistic loss."""
+    at = risk_gradient(positive, unlabelled, prior)
+    return fitting.adam(np.zeros(np.shape(positive)[1] + 1), lambda w: at(w)[1], STEPS, RATE)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
@@ -134,8 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     both = fitting.one_text_each(trusted.unionByName(unlabelled), "doc_id", "kind")
     got, x = fitting.features_of(both, ["doc_id", "kind"], style_features)
     kind = np.array(got.column("kind").to_pylist())
-    ids = np.array([v if v is not None else -1 for v in got.column("doc_id").to_pylist()])
-    order = np.argsort(ids, kind="stable")
+    order = fitting.order_of(got.column("doc_id").to_pylist())
     order = order[np.argsort(kind[order], kind="stable")]  # positives, then unlabelled
     kind, x = kind[order], x[order]
     first = int((kind == "p").sum())

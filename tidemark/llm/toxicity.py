@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import fitting, textops
+from tidemark.llm import fitting, tables, textops
 
 #: Neutral names of groups, by kind; terms are swapped within a kind.
 IDENTITY_TERMS = (
@@ -70,95 +70,117 @@ class Model:
         return fitting.logistic(np.bincount(rows, weights=self.weights[features], minlength=len(column))[: len(column)] + self.bias)
 
 
-def choose_words(sets: list[np.ndarray], toxic: np.ndarray, most: int = MOST_WORDS) -> np.ndarray:
-    """The hashes of the words whose presence tells most of the label, ties to the smaller hash.
+def gain(n: Column, a: Column, rows: float, toxic: float) -> Column:
+    """Log likelihood ratio of a word that n of the rows have, a of them toxic."""
+
+    def part(seen: Column, of: Column, share: float) -> Column:
+        return seen * F.ln(F.greatest(seen, F.lit(1e-9)) / F.greatest(of * share, F.lit(1e-9)))
+
+    share = toxic / max(rows, 1.0)
+    n, a = n.cast("double"), a.cast("double")
+    return part(a, n, share) + part(n - a, n, 1 - share) + part(toxic - a, rows - n, share) + part(rows - n - toxic + a, rows - n, 1 - share)
+
+
+def choose_words(sample: DataFrame, rows: int, toxic: int, most: int = MOST_WORDS) -> np.ndarray:
+    """The hashes of the words whose presence tells most of the label in sample (toxic, text), ties to the smaller hash.
 
     By log likelihood ratio, LEAST_GAIN at least: below it, in a vocabulary of
-    tens of thousands, words differ by chance.
+    tens of thousands, words differ by chance. Words are counted in Spark, each task's
+    first; what comes to the driver is the chosen ones, whatever the texts' length.
     """
-    keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-    on = np.concatenate([np.zeros(0, np.uint64), *[s for s, t in zip(sets, toxic) if t]])
-    with_toxic = np.bincount(np.searchsorted(keys, on), minlength=len(keys)).astype(float)
-    frequent = counts >= LEAST_ROWS
-    keys, a, n = keys[frequent], with_toxic[frequent], counts[frequent].astype(float)
-    t, rows = float(toxic.sum()), float(len(sets))
 
-    def part(seen, of, share):
-        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(of * share, 1e-9))
-
-    share = t / max(rows, 1)
-    gain = part(a, n, share) + part(n - a, n, 1 - share) + part(t - a, rows - n, share) + part(rows - n - t + a, rows - n, 1 - share)
-    order = np.lexsort((keys, -gain))[:most]
-    return np.sort(keys[order[gain[order] >= LEAST_GAIN]])
+    def run(batches):
+        for batch in batches:
+            is_toxic = np.array(batch.column("toxic").to_pylist(), np.int64) == 1
+            for first, data, bounds in textops.chunks(batch.column("text")):
+                of, words = textops.letter_words(data, bounds)
+                order = np.lexsort((words, of))
+                of, words = of[order], words[order]
+                fresh = np.ones(len(of), bool)
+                fresh[1:] = (of[1:] != of[:-1]) | (words[1:] != words[:-1])
+                keys, at = np.unique(words[fresh], return_inverse=True)
+                n = np.bincount(at, minlength=len(keys))
+                on = np.bincount(at, weights=is_toxic[first + of[fresh]], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(on)], ["word", "n", "a"])
+
+    counts = sample.select("toxic", "text").mapInArrow(run, "word long, n long, a long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    telling = counts.filter(F.col("n") >= LEAST_ROWS).withColumn("gain", gain(F.col("n"), F.col("a"), float(rows), float(toxic))).filter(F.col("gain") >= LEAST_GAIN)
+    # unsigned order: ties go to the smaller hash
+    best = telling.orderBy(F.desc("gain"), (F.col("word") < 0), "word").limit(most).select("word").toArrow()
+    return np.sort(best.column("word").to_numpy().view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED, penalty: float = SWAP_PENALTY) -> Model:
     """A model from docs (doc_id, text) and the learnable labels (doc_id, toxic).
 
-    Null labels are left out; a document labelled twice counts as toxic if either says so.
+    Null labels are left out; a document labelled twice counts as toxic if either says so; ids may be of any type.
     With labels of one kind only, or none, all texts score alike.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
+    flat = (counts.get(1, 0) + 0.5) / (total + 1)
+    flat = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(flat / (1 - flat))))
     if not counts.get(1) or not counts.get(0):
-        share = (counts.get(1, 0) + 0.5) / (total + 1)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+        return flat
     # of bounded size, so it may be sent to every task
-    sample = F.broadcast(fitting.sampled(known, "toxic", most, "toxicity"))
+    chosen = F.broadcast(fitting.sampled(known, "toxic", most, "toxicity"))
+    sample = tables.written(fitting.one_text_each(docs.select("doc_id", "text").join(chosen, "doc_id"), "doc_id", "toxic"), "sample")
+    found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not found:
+        return flat
+    terms = [word_keys(list(kind)) for kind in IDENTITY_TERMS]
+    keys = np.union1d(choose_words(sample, sum(found.values()), found.get(1, 0)), np.concatenate(terms))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for _, data, bounds in textops.chunks(batch.column("text")):
-                rows, words = textops.letter_words(data, bounds)
-                cuts = np.searchsorted(rows, np.arange(len(bounds)))
-                out += [np.unique(words[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
-
-    texts = fitting.one_text_each(docs.select("doc_id", "text").join(sample, "doc_id"), "doc_id", "toxic")
-    got = texts.mapInArrow(run, "doc_id long, toxic long, words binary" if dict(labels.dtypes)["toxic"] == "bigint" else "doc_id long, toxic int, words binary").toArrow()
-    order = np.argsort(np.array(got.column("doc_id").to_pylist(), np.int64), kind="stable")
+            rows, features = _presence(batch.column("text"), keys)
+            cuts = np.searchsorted(rows, np.arange(len(batch) + 1))
+            sets = [features[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(sets, pa.binary())], ["doc_id", "toxic", "words"])
+
+    # a row's features are at most two bytes for each of the keys
+    got = sample.mapInArrow(run, tables.schema_with(sample, ["doc_id", "toxic"], "words binary")).toArrow()
+    order = fitting.order_of(got.column("doc_id").to_pylist())
     toxic = np.array(got.column("toxic").to_pylist(), np.int64)[order]
-    sets = [np.frombuffer(got.column("words")[int(i)].as_buffer(), np.uint64) for i in order]
-    terms = [word_keys(list(kind)) for kind in IDENTITY_TERMS]
-    keys = np.union1d(choose_words(sets, toxic), np.concatenate(terms))
+    x = np.zeros((len(order), len(keys)))
+    for row, i in enumerate(order):
+        x[row, np.frombuffer(got.column("words")[int(i)].as_buffer(), np.uint16)] = 1
     weight = np.where(toxic == 1, counts[1] / total / max(1, (toxic == 1).sum()), counts[0] / total / max(1, (toxic == 0).sum()))
+    w = fitting.adam(np.zeros(len(keys) + 1), gradient(x, toxic, weight, swaps(x, [np.searchsorted(keys, kind) for kind in terms]), penalty), STEPS, RATE)
+    return Model(keys, w[:-1], float(w[-1]))
+
+
+def swaps(x: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
+    """What the features lose when identity terms are swapped, a row for each learning text that has one; kinds are the terms' columns.
 
-    def rows_of(found):
-        x = np.zeros((len(found), len(keys)), np.float32)
-        for i, s in enumerate(found):
-            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            x[i, at[keys[at] == s]] = 1
-        return x
-
-    x = rows_of(sets)
-    swapped, changed = x.copy(), np.zeros(len(sets), bool)
-    for kind in terms:
-        at = np.searchsorted(keys, kind)
+    A text's terms move on by one within their kind. A text of each term alone is
+    added, so that every term is held near its kind even where no learning text has it.
+    """
+    swapped, changed = x.copy(), np.zeros(len(x), bool)
+    for at in kinds:
         swapped[:, at] = np.roll(x[:, at], 1, axis=1)
         changed |= x[:, at].any(1)
-    # a text of each term alone, so that every term is held near its kind even where no learning text has it
-    alone = np.zeros((sum(map(len, terms)), len(keys)), np.float32)
-    moved = alone.copy()
-    i = 0
-    for kind in terms:
-        at = np.searchsorted(keys, kind)
+    alone = np.zeros((sum(map(len, kinds)), x.shape[1]))
+    moved, i = alone.copy(), 0
+    for at in kinds:
         for j in range(len(at)):
             alone[i, at[j]] = moved[i, at[(j + 1) % len(at)]] = 1
             i += 1
-    difference = np.vstack([(x - swapped)[changed], alone - moved]).astype(np.float64)
-    x = x.astype(np.float64)
-    decay = DECAY * np.ones(len(keys) + 1)
+    return np.vstack([(x - swapped)[changed], alone - moved])
+
+
+def gradient(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, difference: np.ndarray, penalty: float):
+    """The gradient of the weighted logistic loss, half the penalty times the mean squared change of the score, and half the decay."""
+    decay = DECAY * np.ones(x.shape[1] + 1)
     decay[-1] = 0
 
-    def gradient(w):
+    def at(w):
         pull = (fitting.logistic(x @ w[:-1] + w[-1]) - toxic) * weight
         swap = difference.T @ (difference @ w[:-1]) * (penalty / len(difference))
         return np.append(x.T @ pull + swap, pull.sum()) + decay * w
 
-    w = fitting.adam(np.zeros(len(keys) + 1), gradient, STEPS, RATE)
-    return Model(keys, w[:-1], float(w[-1]))
+    return at
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
