@@ -173,6 +173,42 @@ def test_mixing_equals_sql_and_hits_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_many_sources_and_clashing_columns(spark, monkeypatch):
+    """As many sources as rows, more than a broadcast takes: the same targets as a plain water-filling."""
+    monkeypatch.setattr(tables.small, "__defaults__", (20,))
+    rng = random.Random(3)
+    rows = [(i if i else None, " ".join("w" * rng.randrange(1, 9)), None if i == 3 else f"s{i % 150:03}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumns({c: F.lit("mine") for c in ("size", "edge", "order", "of", "target", "_part", "place")})
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    names = sorted(sizes, key=lambda x: (x is None, x))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}
+    capped = set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[x] for x in capped)) / sum(weight[x] for x in names if x not in capped)
+        over = {x for x in names if x not in capped and weight[x] * level > 3 * sizes[x]}
+        if not over:
+            break
+        capped |= over
+    want = {x: 3.0 * sizes[x] if x in capped else weight[x] * level for x in names}
+    got = {r.source: r.target for r in mixing.targets(docs.select("source", mixing.word_count().alias("size"))).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in names) and capped
+    taken = Counter()
+    source_of = {i: x for i, _, x in rows}
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[source_of[r.doc_id]] += r.taken
+    assert all(abs(taken[x] - want[x]) <= 1 for x in names)
+    assert mixing.repeat(docs).columns == docs.columns and mixing.repeat(docs.limit(0)).count() == 0
+
+
+def test_sums_before_a_row_run_on_from_range_to_range(spark):
+    frame = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.lit("mine").alias("_part"))
+    rows = sorted(map(tuple, tables.before(frame, [F.col("k").desc()], n=F.lit(1), s=F.col("k")).select("k", "n", "s").collect()))
+    assert rows == [(k, 499 - k, sum(range(k + 1, 500))) for k in range(500)]
+
+
 def test_repeat_follows_the_mix(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("size", F.lit("clash")).withColumn("edge", F.lit(1))
     out = mixing.repeat(docs)
@@ -628,6 +664,18 @@ def test_quality_risk_and_gradient_equal_plain_formulas():
     assert signs == {True, False}
 
 
+def test_quality_prior_from_positives_alone(spark, learned):
+    rng = np.random.default_rng(5)
+    for prior in (0.2, 0.5, 0.8):
+        p = rng.normal(size=(3000, 5)) + 2
+        u = rng.normal(size=(4000, 5)) + 2 * (rng.random(4000) < prior)[:, None]
+        assert abs(quality.class_prior(p, u) - prior) < 0.1
+    docs, labels = learned
+    model = quality.fit(docs, labels.filter("quality = 1"))
+    rows = quality.score(docs, model).join(labels, "doc_id").select("score", "quality").collect()
+    assert 0.5 < model.prior < 0.95 and np.mean([(r.score >= 0.5) == r.quality for r in rows]) > 0.9
+
+
 def test_toxicity_words_penalty_and_gradient_equal_plain_formulas(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(40)]

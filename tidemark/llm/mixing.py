@@ -35,23 +35,19 @@ def _order_key(seed: str) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, size).
 
-    The windows here see one row a source. Sources are in code point order, null
-    last; their weights repeat. Targets sum to all sizes.
+    Sources are in code point order, null last; their weights repeat. Targets sum
+    to all sizes. Sources may be as many as rows: both orders, by name and by
+    cap over weight, are summed range by range.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
-    planned = by_source.withColumn("place", place).withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs)
-    ordered = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before, every = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    open_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = F.max("level").over(every)
-    return (
-        planned.withColumn("level", left / open_weight)
-        .withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * level))
-        .select("source", "source_size", "target")
-    )
+    placed = tables.before(by_source, [F.col("source").asc_nulls_last()], place=F.lit(1).cast("long"))
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    planned = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs)
+    ordered = tables.before(planned, [F.col("cap") / F.col("weight"), F.col("place")], caps=F.col("cap"), weights=F.col("weight"))
+    ordered = tables.written(ordered, "ordered")
+    size, heavy = ordered.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = ordered.agg(F.max((F.lit(size) - F.col("caps")) / (F.lit(heavy) - F.col("weights")))).first()[0]
+    return ordered.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

@@ -4,8 +4,8 @@ Trusted positives (documents labelled 1) and unlabelled web text (any
 documents) train a linear scorer by the non-negative unbiased risk: with prior
 p, p * loss(positives, +) plus the unlabelled loss(-) less p * loss(positives, -),
 the latter difference kept from going below zero by stepping back whenever it
-does. Documents labelled 0 serve only to estimate the prior, as the share of 1
-among the learnable labels.
+does. The prior is estimated: as the share of 1 among the learnable labels where some
+are 0 (they serve for nothing else), and from positives and unlabelled alone where none is.
 """
 
 from __future__ import annotations
@@ -120,10 +120,28 @@ def fit_rows(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.n
     return fitting.adam(np.zeros(np.shape(positive)[1] + 1), lambda w: at(w)[1], STEPS, RATE)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from the two samples alone.
+
+    A scorer is learned to tell one half of the positives from one half of the
+    unlabelled. Of the other halves, whatever score is asked for, the unlabelled
+    that reach it are at least the prior times the positives that do; the prior is the least ratio found, over
+    scores that a twentieth of the positives or more reach.
+    """
+    w = fit_rows(positive[::2], unlabelled[::2], 0.5)
+    p, u = (np.sort(np.asarray(x, np.float64)[1::2] @ w[:-1]) for x in (positive, unlabelled))
+    if not len(p) or not len(u):
+        return 0.5
+    reached = np.arange(len(p), 0, -1) / len(p)
+    ratio = (len(u) - np.searchsorted(u, p)) / len(u) / reached
+    return float(np.clip(ratio[reached >= 0.05].min(), 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """A model from docs (doc_id, text) and the learnable labels (doc_id, quality).
 
     Null labels are left out; a document labelled twice counts as 1 if either says so.
+    Ids may be of any type; with labels of 1 alone the prior is class_prior's.
     Without positives the model scores everything by the prior (0.5 without any label).
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -149,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     first = int((kind == "p").sum())
     if not (kind == "u").any() or not (kind == "p").any():
         return Model(np.append(np.zeros(CLASSES * CLASSES + EXTRA), np.log(prior / (1 - prior))), prior)
+    if not counts.get(0):
+        prior = class_prior(x[:first], x[first:])
     return Model(fit_rows(x[:first], x[first:], prior), prior)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -91,6 +91,22 @@ def skew_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: i
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(facts.filter(~hot).drop(weight), key))
 
 
+def before(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with, for each name, the sum of an expression over the rows before a row in the order; ties count in any order.
+
+    Rows are dealt to ranges of the order; each range is summed by itself, and
+    the ranges' totals, one row a task, run on from range to range. No task holds all rows.
+    """
+    part, *totals = free_names(df, "_part", *[f"_total_{name}" for name in sums])
+    ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    of_part = ranged.groupBy(part).agg(*[F.sum(value).alias(total) for total, value in zip(totals, sums.values())])
+    of_part = of_part.select(part, *[F.coalesce(F.sum(t).over(rows(Window.orderBy(part))), F.lit(0)).alias(t) for t in totals])
+    inside = rows(Window.partitionBy(part).orderBy(*order))
+    found = {name: F.col(total) + F.coalesce(F.sum(value).over(inside), F.lit(0)) for (name, value), total in zip(sums.items(), totals)}
+    return ranged.join(F.broadcast(of_part), part).withColumns(found).drop(part, *totals)
+
+
 def cell_bits(rows: int) -> int:
     """Bits for about 16 cells a row, CELL_BITS at most."""
     return min(CELL_BITS, (16 * rows).bit_length())
