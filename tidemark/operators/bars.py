@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The published resolutions and, below, the columns' names.
 WINDOWS = {"1m": "1 minute", "5m": "5 minutes", "1h": "1 hour", "6h": "6 hours", "1d": "1 day"}
 RESOLUTIONS = ("1m", "5m", "1h")
 

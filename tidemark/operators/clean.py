@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRADE_REQUIRED = ["symbol", "price", "quantity", "trade_time", "trace_id"]
 TICKER_REQUIRED = ["symbol", "best_bid_price", "best_ask_price", "event_time", "trace_id"]
+# The ranges that published rows are held to.
 PRICE, QUANTITY = (1e-6, 1e7), (1e-7, 1e6)
 TIME_MS = (1_577_836_800_000, 1_893_456_000_000)
 
@@ -27,13 +30,35 @@ def cast_tickers(df: DataFrame) -> DataFrame:
     return _cast(df, {"best_bid_price": "double", "best_bid_qty": "double", "best_ask_price": "double", "best_ask_qty": "double", "event_time": "long"})
 
 
+def valid_trade() -> Column:
+    return F.col("price").between(*PRICE) & F.col("quantity").between(*QUANTITY) & F.col("trade_time").between(*TIME_MS)
+
+
+def valid_ticker() -> Column:
+    bid, ask = F.col("best_bid_price"), F.col("best_ask_price")
+    return (bid >= PRICE[0]) & (ask >= PRICE[0]) & (ask >= bid) & F.col("event_time").between(*TIME_MS)
+
+
 def validate_trades(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("price").between(*PRICE) & F.col("quantity").between(*QUANTITY) & F.col("trade_time").between(*TIME_MS))
+    return df.filter(valid_trade())
 
 
 def validate_tickers(df: DataFrame) -> DataFrame:
-    bid, ask = F.col("best_bid_price"), F.col("best_ask_price")
-    return df.filter((bid >= PRICE[0]) & (ask >= PRICE[0]) & (ask >= bid) & F.col("event_time").between(*TIME_MS))
+    return df.filter(valid_ticker())
+
+
+def _kept(df: DataFrame, required: list[str], valid: Column) -> DataFrame:
+    """df, all rows, with a column kept: whether a row has what is required and is valid."""
+    return df.withColumn("kept", reduce(Column.__and__, [F.col(c).isNotNull() for c in required], F.coalesce(valid, F.lit(False))))
+
+
+def mark_trades(df: DataFrame) -> DataFrame:
+    """Raw trades, cast, all of them, with `kept`: whether cleaning keeps the row, duplicates aside."""
+    return _kept(cast_trades(df), TRADE_REQUIRED, valid_trade())
+
+
+def mark_tickers(df: DataFrame) -> DataFrame:
+    return _kept(cast_tickers(df), TICKER_REQUIRED, valid_ticker())
 
 
 def derive_trades(df: DataFrame) -> DataFrame:

@@ -22,10 +22,13 @@ def regime(volatility: str, p33: Column, p66: Column) -> Column:
 
 
 def with_regime(features: DataFrame) -> DataFrame:
-    """features with vol_regime by each symbol's terciles of rolling volatility."""
-    cuts = features.groupBy("symbol").agg(F.percentile_approx("rolling_volatility", [0.33, 0.66], 10_000).alias("_cuts"))
-    joined = features.join(cuts, "symbol", "left")
-    return joined.withColumn("vol_regime", regime("rolling_volatility", F.col("_cuts")[0], F.col("_cuts")[1])).drop("_cuts")
+    """features with vol_regime by each symbol's terciles of rolling volatility.
+
+    The terciles are taken over the symbol's rows where the features' own windows have them, so the features are computed once.
+    """
+    cuts = F.percentile_approx("rolling_volatility", [0.33, 0.66], 10_000).over(Window.partitionBy("symbol"))
+    marked = features.withColumn("_cuts", cuts)
+    return marked.withColumn("vol_regime", regime("rolling_volatility", F.col("_cuts")[0], F.col("_cuts")[1])).drop("_cuts")
 
 
 def volatility_regime(features: DataFrame, first_change_false: bool = False) -> DataFrame:
@@ -289,12 +292,15 @@ def symbol_stats(features: DataFrame) -> DataFrame:
 
 
 def feature_kpis(features: DataFrame, symbols: list[str]) -> DataFrame:
-    """Each listed symbol's last row, first and last close, averages and dominant regime; nulls where it has no rows."""
+    """Each listed symbol's last row, first and last close, the day's return, averages and dominant regime; nulls where it has no rows.
+
+    One aggregation: the dominant regime, of equals the first by name, is found among the counts of the four.
+    """
     spark = features.sparkSession
     listed = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-    marked = with_regime(features)
     known = F.when(F.col("close").isNotNull(), F.col("window_start"))
-    day = marked.groupBy("symbol").agg(
+    names = sorted([*REGIMES, "UNKNOWN"])
+    day = with_regime(features).groupBy("symbol").agg(
         F.max_by("close", known).alias("last_close"),
         F.min_by("close", known).alias("first_close"),
         F.max_by("vwap", "window_start").alias("last_vwap"),
@@ -303,17 +309,20 @@ def feature_kpis(features: DataFrame, symbols: list[str]) -> DataFrame:
         F.round(F.avg("buy_sell_ratio"), 4).alias("avg_buy_sell_ratio"),
         F.max(F.abs("momentum")).alias("max_abs_momentum"),
         F.count("*").alias("windows"),
+        *[F.count_if(F.col("vol_regime") == name).alias(name) for name in names],
     )
-    ranked = Window.partitionBy("symbol").orderBy(F.desc("windows"), "vol_regime")
-    dominant = regime_distribution(marked).withColumn("_place", F.row_number().over(ranked)).filter("_place = 1").select("symbol", F.col("vol_regime").alias("dominant_regime"))
-    return listed.join(day, "symbol", "left").join(dominant, "symbol", "left")
+    dominant = F.array_min(F.array(*[F.struct((-F.col(name)).alias("n"), F.lit(name).alias("name")) for name in names]))["name"]
+    change = F.round(ratio(F.col("last_close") - F.col("first_close"), "first_close") * 100, 4)
+    return listed.join(day.withColumn("dominant_regime", dominant).withColumn("day_return_pct", change).drop(*names), "symbol", "left")
 
 
-def batch_meta(raw: DataFrame, clean: DataFrame, what: str) -> DataFrame:
-    """Raw and clean counts, rows removed and their share in percent."""
-    counts = raw.agg(F.count("*").alias("n")).select(F.col("n").alias("raw_count"), F.lit(1).alias("_k")).join(
-        clean.agg(F.count("*").alias("n")).select(F.col("n").alias("clean_count"), F.lit(1).alias("_k")), "_k"
-    )
+def batch_meta(marked: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """Raw and clean counts, rows removed and their share in percent, of raw rows marked by whether cleaning keeps them.
+
+    Cleaning leaves one row a key, so the clean rows are the keys that have a kept row: one aggregation by key, and no sort.
+    """
+    by_key = marked.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("kept").cast("long")).alias("kept"))
+    counts = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw_count"), F.coalesce(F.sum("kept"), F.lit(0)).alias("clean_count"))
     removed = F.col("raw_count") - F.col("clean_count")
     return counts.select(
         F.lit(what).alias("stream"), "raw_count", "clean_count", removed.alias("removed"),
@@ -321,6 +330,15 @@ def batch_meta(raw: DataFrame, clean: DataFrame, what: str) -> DataFrame:
     )
 
 
+def liquidity_text(verdicts: DataFrame) -> DataFrame:
+    """A sentence for each verdict of liquidity_verdict()."""
+    pct = F.round(ratio(F.abs(F.col("spread_q4") - F.col("spread_q1")), "spread_q1") * 100, 2)
+    side = F.when(F.col("verdict") == "TIGHTER", "tighter").when(F.col("verdict") == "WIDER", "wider")
+    text = F.when(side.isNotNull(), F.format_string("%s: the spread is %.2f %% %s in the busiest quartile than in the quietest", "symbol", F.coalesce(pct, F.lit(0.0)), side))
+    text = F.coalesce(text, F.when(F.col("verdict") == "EQUAL", F.concat("symbol", F.lit(": the spread is the same in the busiest quartile as in the quietest"))))
+    return verdicts.withColumn("text", F.coalesce(text, F.concat("symbol", F.lit(": one of the quartiles has no spread"))))
+
+
 def spread_range(spread: DataFrame, n: int = 60) -> DataFrame:
     """Least, mean and greatest positive spread over the last n rows of each symbol."""
     return last_rows_each(spread, n).filter("spread_mean > 0").groupBy("symbol").agg(

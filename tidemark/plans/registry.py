@@ -16,7 +16,7 @@ from tidemark.functions import features as fx
 from tidemark.operators import bars, checks, clean
 from tidemark.plans import analytics as an
 from tidemark.session import scratch
-from tidemark.sources import market
+from tidemark.sources import market, storage
 from tidemark.streaming import live
 
 SYMBOLS = ["CLICK", "PURCHASE", "VIEW"]
@@ -79,7 +79,7 @@ CLEAN_TRADES = f"""ct AS (SELECT * FROM (SELECT *, trade_time AS trade_datetime,
 CLEAN_TICKERS = f"""ck AS (SELECT * FROM (SELECT *, event_time AS event_datetime, best_ask_price - best_bid_price AS spread,
   (best_bid_price + best_ask_price) / 2 AS mid_price,
   row_number() OVER (PARTITION BY symbol, event_time ORDER BY ingestion_ts, trace_id) AS rn FROM tk WHERE {VALID_TICKER}) WHERE rn = 1)"""
-WIDTH = {"1h": 3_600_000, "6h": 21_600_000, "1d": 86_400_000}
+WIDTH = {"1m": 60_000, "5m": 300_000, "1h": 3_600_000, "6h": 21_600_000, "1d": 86_400_000}
 
 
 def _bars(label: str, name: str = "bars") -> str:
@@ -116,7 +116,13 @@ def _with(*parts: str) -> str:
 
 RAW = _with(EVENTS, TRADES, TICKERS)
 CLEAN = _with(EVENTS, TRADES, TICKERS, CLEAN_TRADES, CLEAN_TICKERS)
-HOURLY = _with(EVENTS, TRADES, TICKERS, CLEAN_TRADES, CLEAN_TICKERS, _bars("1h"), _spreads("1h"), FEATURES)
+
+
+def _featured(label: str) -> str:
+    return _with(EVENTS, TRADES, TICKERS, CLEAN_TRADES, CLEAN_TICKERS, _bars(label), _spreads(label), FEATURES)
+
+
+HOURLY = _featured("1h")
 
 
 def _more(*parts: str) -> str:
@@ -142,8 +148,9 @@ def hourly_spread(spark, sf_dir):
     return bars.spreads(clean_tickers(spark, sf_dir), "1h")
 
 
-def full(spark, sf_dir):
-    return fx.join_spreads(fx.all_features(hourly(spark, sf_dir)), hourly_spread(spark, sf_dir))
+def full(spark, sf_dir, label: str = "1h"):
+    """Bars, features and spreads of a resolution."""
+    return fx.join_spreads(fx.all_features(bars.ohlcv(clean_trades(spark, sf_dir), label)), bars.spreads(clean_tickers(spark, sf_dir), label))
 
 
 # --- cleaning --------------------------------------------------------------------------------------
@@ -169,18 +176,32 @@ def _(spark, sf_dir):
     return clean.dedup(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
 
 
-@query("validate_ranges", "stream n:i", RAW + f"SELECT 'trades' AS stream, count(*) AS n FROM tr WHERE price BETWEEN 100 AND 1e7 AND {VALID_TRADE} UNION ALL SELECT 'tickers', count(*) FROM tk WHERE {VALID_TICKER}")
+# every tenth quantity spoils its row: a price below, a quantity of none, a time beyond, a price above, a crossed book
+_spoilt_trades = (
+    "SELECT CASE CAST(quantity AS INTEGER) % 10 WHEN 1 THEN -price WHEN 4 THEN 1e8::DOUBLE ELSE price END AS price, CASE CAST(quantity AS INTEGER) % 10 WHEN 2 THEN 0.0::DOUBLE ELSE quantity END AS quantity, "
+    "CASE CAST(quantity AS INTEGER) % 10 WHEN 3 THEN trade_time + 800000000000 ELSE trade_time END AS trade_time FROM tr"
+)
+_spoilt_tickers = "SELECT CASE CAST(best_bid_qty AS INTEGER) % 10 WHEN 5 THEN best_ask_price + 1 ELSE best_bid_price END AS best_bid_price, best_ask_price, event_time FROM tk"
+
+
+@query("validate_ranges", "stream n:i", RAW + f"SELECT 'trades' AS stream, count(*) AS n FROM ({_spoilt_trades}) WHERE {VALID_TRADE} UNION ALL SELECT 'tickers', count(*) FROM ({_spoilt_tickers}) WHERE {VALID_TICKER}")
 def _(spark, sf_dir):
-    kept = clean.validate_trades(market.trades_of_events(spark, sf_dir).filter("price >= 100"))
-    quotes = clean.validate_tickers(market.tickers_of_events(spark, sf_dir))
+    tenth = lambda c: F.col(c).cast("int") % 10
+    trades, quotes = market.trades_of_events(spark, sf_dir), market.tickers_of_events(spark, sf_dir)
+    spoilt = trades.withColumns({
+        "price": F.when(tenth("quantity") == 1, -F.col("price")).when(tenth("quantity") == 4, 1e8).otherwise(F.col("price")),
+        "quantity": F.when(tenth("quantity") == 2, 0.0).otherwise(F.col("quantity")),
+        "trade_time": F.col("trade_time") + F.when(tenth("quantity") == 3, 800_000_000_000).otherwise(0),
+    })
+    crossed = quotes.withColumn("best_bid_price", F.when(tenth("best_bid_qty") == 5, F.col("best_ask_price") + 1).otherwise(F.col("best_bid_price")))
     count = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("stream", F.lit(name))
-    return count(kept, "trades").unionByName(count(quotes, "tickers"))
+    return count(clean.validate_trades(spoilt), "trades").unionByName(count(clean.validate_tickers(crossed), "tickers"))
 
 
 # --- bars and features -----------------------------------------------------------------------------
 
 BAR_SPEC = "symbol open:d high:d low:d close:d volume:d trade_count:i buy_volume:d sell_volume:d price_qty_sum:d window_start:t window_end:t window_label"
-for _label in ("1h", "6h", "1d"):
+for _label in ("1m", "5m", "1h", "6h", "1d"):
     query(f"ohlcv_{_label}", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars(_label)) + "SELECT * FROM bars")(
         lambda spark, sf_dir, label=_label: bars.ohlcv(clean_trades(spark, sf_dir), label)
     )
@@ -212,8 +233,16 @@ def _(spark, sf_dir):
     ).withColumn("window_start", F.col("w.start"))
 
 
+@query("ohlcv_published", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars("1m", "b1"), _bars("5m", "b5"), _bars("1h", "bh")) + "SELECT * FROM b1 UNION ALL SELECT * FROM b5 UNION ALL SELECT * FROM bh")
+def _(spark, sf_dir):
+    return bars.ohlcv_all(clean_trades(spark, sf_dir))
+
+
 SPREAD_SPEC = "symbol spread_mean:d spread_min:d spread_max:d spread_std:d mid_price_mean:d tick_count:i bid_qty_mean:d ask_qty_mean:d window_start:t window_label"
-query("spread_1h", SPREAD_SPEC, HOURLY + "SELECT * FROM sp")(hourly_spread)
+for _label in ("1m", "5m", "1h"):
+    query(f"spread_{_label}", SPREAD_SPEC, _with(EVENTS, TICKERS, CLEAN_TICKERS, _spreads(_label)) + "SELECT * FROM sp")(
+        lambda spark, sf_dir, label=_label: bars.spreads(clean_tickers(spark, sf_dir), label)
+    )
 
 for _name, _add, _cols in (
     ("vwap", fx.add_vwap, "vwap:d"),
@@ -231,6 +260,8 @@ query("obi", "symbol window_start:t obi:d", HOURLY + "SELECT * FROM sx")(lambda
 
 FEATURE_SPEC = BAR_SPEC + " vwap:d log_return:d rolling_volatility:d realized_volatility:d momentum:d momentum_pct:d buy_sell_ratio:d return_autocorr:d spread_mean:d spread_mean_pct:d spread_min:d spread_max:d spread_std:d mid_price_mean:d tick_count:i obi:d"
 query("features_full", FEATURE_SPEC, HOURLY + "SELECT * FROM fx")(full)
+for _label in ("1m", "5m"):
+    query(f"features_{_label}", FEATURE_SPEC, _featured(_label) + "SELECT * FROM fx")(lambda spark, sf_dir, label=_label: full(spark, sf_dir, label))
 query("symbol_stats", "symbol avg_vwap:d avg_rolling_volatility:d avg_spread_mean:d avg_buy_sell_ratio:d avg_obi:d windows:i",
       HOURLY + "SELECT symbol, round(avg(vwap), 4) AS avg_vwap, round(avg(rolling_volatility), 8) AS avg_rolling_volatility, round(avg(spread_mean), 6) AS avg_spread_mean, round(avg(buy_sell_ratio), 4) AS avg_buy_sell_ratio, round(avg(obi), 4) AS avg_obi, count(*) AS windows FROM fx GROUP BY 1",
       )(lambda spark, sf_dir: an.symbol_stats(full(spark, sf_dir)))
@@ -271,6 +302,11 @@ query("q2_liquidity", "symbol volume_quartile:i avg_spread:d avg_volume:d window
 query("q2_verdict", "symbol spread_q1:d spread_q4:d verdict", Q2 + """SELECT symbol, spread_q1, spread_q4, CASE WHEN spread_q1 IS NULL OR spread_q4 IS NULL THEN 'UNKNOWN' WHEN spread_q4 < spread_q1 THEN 'TIGHTER' WHEN spread_q4 > spread_q1 THEN 'WIDER' ELSE 'EQUAL' END AS verdict
   FROM (SELECT symbol, max(CASE WHEN volume_quartile = 1 THEN avg_spread END) AS spread_q1, max(CASE WHEN volume_quartile = 4 THEN avg_spread END) AS spread_q4 FROM lp GROUP BY 1)""")(lambda s, d: an.liquidity_verdict(an.liquidity_profile(full(s, d))))
 
+query("q2_text", "symbol verdict text", Q2 + """SELECT symbol, verdict, CASE verdict WHEN 'EQUAL' THEN symbol || ': the spread is the same in the busiest quartile as in the quietest' WHEN 'UNKNOWN' THEN symbol || ': one of the quartiles has no spread'
+  ELSE format('{}: the spread is {:.2f} % {} in the busiest quartile than in the quietest', symbol, round(abs(spread_q4 - spread_q1) / spread_q1 * 100, 2), lower(verdict)) END AS text
+  FROM (SELECT *, CASE WHEN spread_q1 IS NULL OR spread_q4 IS NULL THEN 'UNKNOWN' WHEN spread_q4 < spread_q1 THEN 'TIGHTER' WHEN spread_q4 > spread_q1 THEN 'WIDER' ELSE 'EQUAL' END AS verdict
+  FROM (SELECT symbol, max(CASE WHEN volume_quartile = 1 THEN avg_spread END) AS spread_q1, max(CASE WHEN volume_quartile = 4 THEN avg_spread END) AS spread_q4 FROM lp GROUP BY 1))""")(lambda s, d: an.liquidity_text(an.liquidity_verdict(an.liquidity_profile(full(s, d)))))
+
 # --- divergence ------------------------------------------------------------------------------------
 
 _cell = lambda c, name: ", ".join(f"max(CASE WHEN symbol = '{s}' THEN {c} END) AS {name.format(s.lower())}" for s in SYMBOLS)
@@ -365,19 +401,19 @@ query("bt_hitrate", "symbol signals:i hit_rate_pct:d verdict", BT + f"SELECT *,
 # --- lookups ---------------------------------------------------------------------------------------
 
 _at = f"symbol = '{SYMBOL}' AND date = '{DAY}'"
-query("last_n_trades", TRADE_SPEC, RAW + f"SELECT * FROM tr WHERE {_at} ORDER BY trade_time DESC, agg_trade_id DESC LIMIT 10")(lambda s, d: market.last_trades(market.trades_of_events(s, d), SYMBOL, DAY, 10))
-query("ticker_range", "symbol date event_time:i best_bid_price:d best_ask_price:d trace_id", RAW + f"SELECT * FROM tk WHERE {_at} AND event_time BETWEEN {DAY_MS} AND {DAY_MS + 7_200_000}")(lambda s, d: market.tickers_between(market.tickers_of_events(s, d), SYMBOL, DAY, DAY_MS, DAY_MS + 7_200_000))
+query("last_n_trades", TRADE_SPEC, RAW + f"SELECT * FROM tr WHERE {_at} ORDER BY trade_time DESC, agg_trade_id DESC LIMIT 10")(lambda s, d: market.last_trades(market.trades_of_events(s, d, DAY), SYMBOL, DAY, 10))
+query("ticker_range", "symbol date event_time:i best_bid_price:d best_ask_price:d trace_id", RAW + f"SELECT * FROM tk WHERE {_at} AND event_time BETWEEN {DAY_MS} AND {DAY_MS + 7_200_000}")(lambda s, d: market.tickers_between(market.tickers_of_events(s, d, DAY), SYMBOL, DAY, DAY_MS, DAY_MS + 7_200_000))
 query("trace_lookup", TRADE_SPEC, RAW + "SELECT * FROM tr WHERE trace_id = 'trace-77'")(lambda s, d: market.trace_by_id(market.trades_of_events(s, d), "trace-77"))
-query("large_trades", TRADE_SPEC, RAW + f"SELECT * FROM tr WHERE {_at} ORDER BY quantity DESC, trade_time DESC, agg_trade_id DESC LIMIT 10")(lambda s, d: market.large_trades(market.trades_of_events(s, d), SYMBOL, DAY))
-query("event_count", "event_count:i", RAW + f"SELECT count(*) AS event_count FROM tr WHERE {_at} AND trade_time >= {DAY_MS + 43_200_000}")(lambda s, d: market.events_since(market.trades_of_events(s, d), SYMBOL, DAY, DAY_MS + 43_200_000))
+query("large_trades", TRADE_SPEC, RAW + f"SELECT * FROM tr WHERE {_at} ORDER BY quantity DESC, trade_time DESC, agg_trade_id DESC LIMIT 10")(lambda s, d: market.large_trades(market.trades_of_events(s, d, DAY), SYMBOL, DAY))
+query("event_count", "event_count:i", RAW + f"SELECT count(*) AS event_count FROM tr WHERE {_at} AND trade_time >= {DAY_MS + 43_200_000}")(lambda s, d: market.events_since(market.trades_of_events(s, d, DAY), SYMBOL, DAY, DAY_MS + 43_200_000))
 
 # --- exports ---------------------------------------------------------------------------------------
 
 query("last_bars", BAR_SPEC, HOURLY + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_start DESC) AS rn FROM bars) WHERE rn <= 48")(lambda s, d: an.last_rows_each(hourly(s, d), 48))
 query("last_spreads", SPREAD_SPEC, HOURLY + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_start DESC) AS rn FROM sp) WHERE rn <= 120")(lambda s, d: an.last_rows_each(hourly_spread(s, d), 120))
 query("spread_range", "symbol spread_low:d spread_avg:d spread_high:d", HOURLY + "SELECT symbol, min(spread_mean) AS spread_low, avg(spread_mean) AS spread_avg, max(spread_mean) AS spread_high FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_start DESC) AS rn FROM sp) WHERE rn <= 60 AND spread_mean > 0 GROUP BY 1")(lambda s, d: an.spread_range(hourly_spread(s, d)))
-query("feature_kpis", "symbol last_close:d first_close:d last_vwap:d last_momentum_pct:d avg_volatility:d avg_buy_sell_ratio:d max_abs_momentum:d windows:i dominant_regime",
-      Q1 + """SELECT * FROM (VALUES ('CLICK'), ('PURCHASE'), ('VIEW'), ('NONE')) AS l(symbol) LEFT JOIN (SELECT symbol, arg_max(close, window_start) AS last_close, arg_min(close, window_start) AS first_close,
+query("feature_kpis", "symbol last_close:d first_close:d day_return_pct:d last_vwap:d last_momentum_pct:d avg_volatility:d avg_buy_sell_ratio:d max_abs_momentum:d windows:i dominant_regime",
+      Q1 + """SELECT *, round((last_close - first_close) / nullif(first_close, 0) * 100, 4) AS day_return_pct FROM (VALUES ('CLICK'), ('PURCHASE'), ('VIEW'), ('NONE')) AS l(symbol) LEFT JOIN (SELECT symbol, arg_max(close, window_start) AS last_close, arg_min(close, window_start) AS first_close,
   arg_max_null(vwap, window_start) AS last_vwap, arg_max_null(momentum_pct, window_start) AS last_momentum_pct, round(avg(rolling_volatility), 8) AS avg_volatility, round(avg(buy_sell_ratio), 4) AS avg_buy_sell_ratio,
   max(abs(momentum)) AS max_abs_momentum, count(*) AS windows FROM r1 GROUP BY 1) USING (symbol) LEFT JOIN (SELECT symbol, vol_regime AS dominant_regime FROM (SELECT symbol, vol_regime,
   row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, vol_regime) AS rn FROM r1 GROUP BY 1, 2) WHERE rn = 1) USING (symbol)""")(lambda s, d: an.feature_kpis(full(s, d), [*SYMBOLS, "NONE"]))
@@ -386,8 +422,8 @@ query("feature_kpis", "symbol last_close:d first_close:d last_vwap:d last_moment
 @query("batch_meta", "stream raw_count:i clean_count:i removed:i dedup_rate_pct:d",
        CLEAN + "SELECT *, raw_count - clean_count AS removed, round((raw_count - clean_count) * 100.0 / greatest(raw_count, 1), 2) AS dedup_rate_pct FROM (SELECT 'trades' AS stream, (SELECT count(*) FROM tr) AS raw_count, (SELECT count(*) FROM ct) AS clean_count UNION ALL SELECT 'tickers', (SELECT count(*) FROM tk), (SELECT count(*) FROM ck))")
 def _(spark, sf_dir):
-    trades = an.batch_meta(market.trades_of_events(spark, sf_dir), clean_trades(spark, sf_dir), "trades")
-    return trades.unionByName(an.batch_meta(market.tickers_of_events(spark, sf_dir), clean_tickers(spark, sf_dir), "tickers"))
+    trades = an.batch_meta(clean.mark_trades(market.trades_of_events(spark, sf_dir)), ["symbol", "agg_trade_id"], "trades")
+    return trades.unionByName(an.batch_meta(clean.mark_tickers(market.tickers_of_events(spark, sf_dir)), ["symbol", "event_time"], "tickers"))
 
 
 # --- checks ----------------------------------------------------------------------------------------
@@ -396,30 +432,177 @@ _keys = ["l_orderkey", "l_linenumber"]
 _line = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet")
 query("dup_report", "total:i unique_keys:i duplicates:i duplicate_rate:d is_clean:b", "SELECT total, u AS unique_keys, total - u AS duplicates, round((total - u) / greatest(total, 1), 6) AS duplicate_rate, total = u AS is_clean FROM (SELECT sum(n) AS total, count(*) AS u FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber))")(lambda s, d: checks.duplicate_rate(_line(s, d), _keys))
 query("find_duplicates", "l_orderkey:i l_linenumber:i occurrences:i", "SELECT l_orderkey, l_linenumber, count(*) AS occurrences FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: checks.find_duplicates(_line(s, d), _keys))
-query("dedup_earliest", TRADE_SPEC, RAW + "SELECT * FROM tr WHERE false")(lambda s, d: checks.kept_earliest(market.trades_of_events(s, d), clean.dedup_trades(market.trades_of_events(s, d)), ["symbol", "agg_trade_id"], "ingestion_ts"))
-query("temporal_order", "trace_id reason", RAW + "SELECT trace_id, CASE WHEN event_time < trade_time THEN 'event_before_trade' WHEN ingestion_ts < event_time THEN 'ingestion_before_event' END AS reason FROM tr WHERE event_time < trade_time OR ingestion_ts < event_time")(lambda s, d: checks.temporal_order(market.trades_of_events(s, d)))
+_twice = "both_ AS (SELECT * FROM tr UNION ALL SELECT * REPLACE (ingestion_ts + 1000 AS ingestion_ts, trace_id || '-again' AS trace_id) FROM tr)"
+query("dedup_earliest", TRADE_SPEC, RAW.removesuffix("\n--\n") + f",\n{_twice}\n--\nSELECT * FROM both_ WHERE (agg_trade_id % 3 = 0) AND ingestion_ts <> (SELECT min(b.ingestion_ts) FROM both_ b WHERE b.symbol = both_.symbol AND b.agg_trade_id = both_.agg_trade_id)")(
+    lambda s, d: checks.kept_earliest(_received_twice(s, d), _kept_wrongly(_received_twice(s, d)), ["symbol", "agg_trade_id"], "ingestion_ts")
+)
+
+
+def _received_twice(spark, sf_dir):
+    """Every trade, and again a second later."""
+    raw = market.trades_of_events(spark, sf_dir)
+    return raw.unionByName(raw.withColumns({"ingestion_ts": F.col("ingestion_ts") + F.expr("INTERVAL 1 SECOND"), "trace_id": F.concat("trace_id", F.lit("-again"))}))
+
+
+def _kept_wrongly(raw):
+    """A row a key; of every third key the later one."""
+    order = F.unix_millis("ingestion_ts") * F.when(F.col("agg_trade_id") % 3 == 0, -1).otherwise(1)
+    return clean.dedup(raw, ["symbol", "agg_trade_id"], [order, "trace_id"])
+
+
+_clocks = "(SELECT trace_id, trade_time, event_time - CASE WHEN agg_trade_id % 7 = 0 THEN 50 ELSE 0 END AS event_time, ingestion_ts - CASE WHEN agg_trade_id % 5 = 0 THEN 700 ELSE 0 END AS ingestion_ts FROM tr)"
+query("temporal_order", "trace_id reason", RAW + f"SELECT trace_id, CASE WHEN event_time < trade_time THEN 'event_before_trade' WHEN ingestion_ts < event_time THEN 'ingestion_before_event' END AS reason FROM {_clocks} WHERE event_time < trade_time OR ingestion_ts < event_time")(
+    lambda s, d: checks.temporal_order(
+        market.trades_of_events(s, d)
+        .withColumn("event_time", F.col("event_time") - F.when(F.col("agg_trade_id") % 7 == 0, 50).otherwise(0))
+        .withColumn("ingestion_ts", F.when(F.col("agg_trade_id") % 5 == 0, F.col("ingestion_ts") - F.expr("INTERVAL '0.7' SECOND")).otherwise(F.col("ingestion_ts")))
+    )
+)
 query("null_rates", "field null_rate:d", HOURLY + "SELECT 'buy_sell_ratio' AS field, avg(CAST(buy_sell_ratio IS NULL AS INTEGER)) AS null_rate FROM fx UNION ALL SELECT 'momentum', avg(CAST(momentum IS NULL AS INTEGER)) FROM fx UNION ALL SELECT 'close', avg(CAST(close IS NULL AS INTEGER)) FROM fx")(lambda s, d: checks.null_rates(full(s, d), ["buy_sell_ratio", "momentum", "close"]))
 query("count_conservation", "symbol trades:i trade_volume:d bar_trades:i bar_volume:d loss:d within:b", HOURLY + "SELECT symbol, trades, round(tv, 6) AS trade_volume, bar_trades, round(bv, 6) AS bar_volume, round((trades - coalesce(bar_trades, 0)) / trades, 6) AS loss, round((trades - coalesce(bar_trades, 0)) / trades, 6) <= 0.01 AS within FROM (SELECT symbol, count(*) AS trades, sum(quantity) AS tv FROM ct GROUP BY 1) LEFT JOIN (SELECT symbol, sum(trade_count) AS bar_trades, sum(volume) AS bv FROM bars GROUP BY 1) USING (symbol)")(lambda s, d: checks.conservation(clean_trades(s, d), hourly(s, d)))
-query("symbol_coverage", "symbol", RAW + "SELECT DISTINCT symbol FROM tr WHERE symbol <> 'ERROR' EXCEPT SELECT DISTINCT symbol FROM tr WHERE price > 100 AND symbol <> 'VIEW'")(lambda s, d: checks.missing_symbols(market.trades_of_events(s, d).filter("symbol <> 'ERROR'"), market.trades_of_events(s, d).filter("price > 100 and symbol <> 'VIEW'")))
-query("untraced", "trace_id", RAW + "SELECT trace_id FROM tr WHERE agg_trade_id % 100 = 0")(lambda s, d: checks.untraced(market.trades_of_events(s, d), market.trades_of_events(s, d).filter("agg_trade_id % 100 <> 0")))
+query("symbol_coverage", "symbol", RAW + "SELECT DISTINCT symbol FROM tr EXCEPT SELECT DISTINCT CASE symbol WHEN 'VIEW' THEN 'VIEWED' WHEN 'ERROR' THEN 'ERR' ELSE symbol END FROM tr")(
+    lambda s, d: checks.missing_symbols(
+        market.trades_of_events(s, d), market.trades_of_events(s, d).withColumn("symbol", F.when(F.col("symbol") == "VIEW", "VIEWED").when(F.col("symbol") == "ERROR", "ERR").otherwise(F.col("symbol")))
+    )
+)
+query("untraced", "trace_id", RAW + "SELECT trace_id FROM tr WHERE trace_id NOT IN (SELECT CASE WHEN quantity < 3 THEN 'lost-' || trace_id ELSE trace_id END FROM tr)")(
+    lambda s, d: checks.untraced(
+        market.trades_of_events(s, d), market.trades_of_events(s, d).withColumn("trace_id", F.when(F.col("quantity") < 3, F.concat(F.lit("lost-"), "trace_id")).otherwise(F.col("trace_id")))
+    )
+)
 query("retention", "trace_id", RAW + f"SELECT trace_id FROM tr WHERE ingestion_ts < {DAY_MS} - 7 * 86400000")(lambda s, d: checks.expired(market.trades_of_events(s, d), F.timestamp_millis(F.lit(DAY_MS))))
-query("uuid_validity", "trace_id", RAW + "SELECT trace_id FROM tr")(lambda s, d: checks.invalid_uuid4(market.trades_of_events(s, d)))
-query("feature_invariants", "invariant violations:i", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', 0)" for k in checks.INVARIANTS) + ") AS v(invariant, violations)")(lambda s, d: checks.invariants(full(s, d)))
+_uuid_sql = "CASE agg_trade_id % 3 WHEN 0 THEN trace_id ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || CASE agg_trade_id % 3 WHEN 1 THEN '-4' ELSE '-1' END || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) END"
+query("uuid_validity", "trace_id", RAW + f"SELECT trace_id FROM (SELECT {_uuid_sql} AS trace_id FROM (SELECT *, md5(CAST(agg_trade_id AS VARCHAR)) AS h FROM tr)) WHERE NOT regexp_full_match(lower(trace_id), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-4[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}')")(
+    lambda s, d: checks.invalid_uuid4(_with_uuids(market.trades_of_events(s, d)))
+)
+
+
+def _with_uuids(trades):
+    """Trace ids that are, by thirds, plain names, UUIDs of version 4 and UUIDs of version 1."""
+    h, third = F.md5(F.col("agg_trade_id").cast("string").cast("binary")), F.col("agg_trade_id") % 3
+    part = lambda a, n: F.substring(h, a, n)
+    made = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.when(third == 1, "-4").otherwise("-1"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
+    return trades.withColumn("trace_id", F.when(third == 0, F.col("trace_id")).otherwise(made))
+
+
+# every rule is broken in some windows, told by their count of trades
+BROKEN = {"vwap": "vwap * CASE trade_count % 5 WHEN 0 THEN 3 WHEN 1 THEN 0.3 ELSE 1 END", "rolling_volatility": "rolling_volatility * CASE WHEN trade_count % 7 = 0 THEN -1 ELSE 1 END",
+          "spread_min": "spread_min * CASE WHEN trade_count % 3 = 0 THEN -1 ELSE 1 END", "buy_volume": "buy_volume + CASE WHEN trade_count % 4 = 0 THEN 1 ELSE 0 END",
+          "obi": "obi * CASE WHEN trade_count % 6 = 0 THEN 100 ELSE 1 END", "return_autocorr": "return_autocorr * CASE WHEN trade_count % 8 = 0 THEN 50 ELSE 1 END", "trade_count": "trade_count * CASE WHEN trade_count % 9 = 0 THEN -1 ELSE 1 END"}
+query("feature_invariants", "invariant violations:i", _more(f"bk AS (SELECT * REPLACE ({', '.join(f'{sql} AS {c}' for c, sql in BROKEN.items())}) FROM fx)")
+      + " UNION ALL ".join(f"SELECT '{name}' AS invariant, count(*) FILTER ({rule}) AS violations FROM bk" for name, rule in {
+          "low_le_vwap": "low - vwap > 1e-6", "vwap_le_high": "vwap - high > 1e-6", "volatility_ge_0": "least(rolling_volatility, realized_volatility) < 0", "spread_ge_0": "NOT spread_min >= 0",
+          "trade_count_gt_0": "NOT trade_count > 0", "volume_is_sum": "buy_volume + sell_volume NOT BETWEEN volume - 1e-6 AND volume + 1e-6", "obi_in_range": "obi NOT BETWEEN -1 AND 1", "autocorr_in_range": "return_autocorr NOT BETWEEN -1 AND 1",
+      }.items()))(lambda s, d: checks.invariants(_broken(full(s, d))))
+
+
+def _broken(features):
+    return features.withColumns({c: F.expr(sql) for c, sql in BROKEN.items()})
+
+
+# --- tables ----------------------------------------------------------------------------------------
+
+
+def _dropped(spark, path, name):
+    """The rows under a path, through a table that is then dropped: its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.read.parquet(path)
+
+
+@query("feature_table", FEATURE_SPEC.replace(" price_qty_sum:d", ""), HOURLY + "SELECT * FROM fx")
+def _(spark, sf_dir):
+    """Features through the migrated table: its 28 columns, written by key, read back."""
+    path = scratch(spark, "features")
+    name = "features_" + path.rsplit("-", 1)[1]
+    storage.migrate_features(spark, name, path)
+    storage.upsert(storage.feature_rows(full(spark, sf_dir)), path)
+    return _dropped(spark, path, name).select(storage.FEATURE_TABLE)
+
+
+@query("upsert_bars", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars("1h")) + "SELECT * REPLACE (CASE WHEN trade_count % 2 = 0 THEN -close ELSE close END AS close) FROM bars")
+def _(spark, sf_dir):
+    """All bars written, then those of an even count of trades again with another close: the others of the same days stay."""
+    path, found = scratch(spark, "upserted"), hourly(spark, sf_dir)
+    storage.upsert(found, path)
+    storage.upsert(found.filter("trade_count % 2 = 0").withColumn("close", -F.col("close")), path)
+    return spark.read.parquet(path)
+
+
+@query("bars_range", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars("1h")) + f"SELECT * FROM bars WHERE window_start >= {DAY_MS} AND window_start < {DAY_MS + 3 * 86_400_000}")
+def _(spark, sf_dir):
+    path = scratch(spark, "bars")
+    storage.upsert(bars.ohlcv_all(clean_trades(spark, sf_dir), ("1h", "1d")), path)
+    return storage.read_bars(spark, path, "1h", "2024-01-15 00:00:00", "2024-01-18 00:00:00")
+
+
+@query("scan_day", TRADE_SPEC, RAW + f"SELECT * FROM tr WHERE date = '{DAY}'")
+def _(spark, sf_dir):
+    path = scratch(spark, "raw")
+    market.trades_of_events(spark, sf_dir).write.partitionBy("date", "symbol").parquet(path)
+    return market.scan_day(spark, path, DAY)
+
+
+query("retained", "trace_id", RAW + f"SELECT trace_id FROM tr WHERE ingestion_ts >= {DAY_MS} - 7 * 86400000")(lambda s, d: storage.retained(market.trades_of_events(s, d), F.timestamp_millis(F.lit(DAY_MS))))
+query("trace_at", TRADE_SPEC, RAW + "SELECT * FROM tr WHERE symbol = 'CLICK' AND date = '2024-01-15' AND trade_time = (SELECT max(trade_time) FROM tr WHERE symbol = 'CLICK' AND date = '2024-01-15')")(
+    lambda s, d: market.trace_at(market.trades_of_events(s, d, DAY), SYMBOL, DAY, market.last_trades(market.trades_of_events(s, d, DAY), SYMBOL, DAY, 1).first()["trade_time"])
+)
+
+
+@query("sql_parameters", "symbol trades:i volume:d", RAW + f"SELECT symbol, count(*) AS trades, sum(quantity) AS volume FROM tr WHERE date = '{DAY}' AND price >= 50 GROUP BY 1")
+def _(spark, sf_dir):
+    market.trades_of_events(spark, sf_dir, DAY).createOrReplaceTempView("tidemark_trades")
+    return market.run_sql(spark, "SELECT symbol, count(*) AS trades, sum(quantity) AS volume FROM tidemark_trades WHERE date = :day AND price >= :least GROUP BY symbol", day=DAY, least=50)
+
+
+WALKS = {"AAA": 67_000.0, "BBB": 3_500.0, "CCC": 580.0}
+
+
+def _walk_sql(rows: int, sigma: float, seed: int) -> str:
+    u = lambda name: f"(CAST('0x' || substr(md5(concat_ws('/', {seed}, symbol, i, '{name}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    values = ", ".join(f"({n}, '{s}', {p}::DOUBLE)" for n, (s, p) in enumerate(WALKS.items()))
+    noise = " + ".join(u(f"step{j}") for j in range(4))
+    return f"""w0 AS (SELECT n * {rows} + i AS id, i, symbol, base FROM (VALUES {values}) AS v(n, symbol, base), (SELECT unnest(range({rows})) AS i)),
+w AS (SELECT *, {{}} base * exp(sum(({noise} - 2.0::DOUBLE) * sqrt(3.0::DOUBLE) * {sigma!r}::DOUBLE) OVER (PARTITION BY symbol ORDER BY i)) AS price FROM w0)""".format(
+        " ".join(f"{u(name)} AS u_{name}," for name in ("quantity", "side", "spread", "bid", "ask"))
+    )
+
+
+query("synthetic_trades", "symbol date trade_time:i event_time:i agg_trade_id:i price:d quantity:d is_buyer_maker:b trace_id ingestion_ts:t", _with(_walk_sql(200, 2e-4, 42)) + """SELECT symbol, '2024-06-10' AS date, 1718020800000 + i * 3000 AS trade_time, 1718020800002 + i * 3000 AS event_time,
+  id AS agg_trade_id, round(price, 2) AS price, round(u_quantity * 1.999 + 0.001, 6) AS quantity, u_side < 0.5 AS is_buyer_maker, 'demo-' || id AS trace_id, 1718020800010 + i * 3000 AS ingestion_ts FROM w""")(lambda s, d: market.synthetic_trades(s, WALKS))
+query("synthetic_tickers", "symbol date event_time:i best_bid_price:d best_bid_qty:d best_ask_price:d best_ask_qty:d spread:d trace_id ingestion_ts:t", _with(_walk_sql(300, 1e-4, 99)) + """SELECT symbol, '2024-06-10' AS date, 1718020800000 + i * 2000 AS event_time,
+  round(price - (u_spread * 4.5 + 0.5) / 2, 2) AS best_bid_price, round(u_bid * 9.5 + 0.5, 4) AS best_bid_qty, round(price + (u_spread * 4.5 + 0.5) / 2, 2) AS best_ask_price, round(u_ask * 9.5 + 0.5, 4) AS best_ask_qty,
+  round(u_spread * 4.5 + 0.5, 4) AS spread, 'quote-' || symbol || '-' || i AS trace_id, 1718020800000 + i * 2000 AS ingestion_ts FROM w""")(lambda s, d: market.synthetic_tickers(s, WALKS))
 
 # --- streaming -------------------------------------------------------------------------------------
 
+# The tables are in no order of time, so these queries' watermark covers them whole; live.WATERMARK is for messages as they come.
+WHOLE = "60 days"
+EVENT_COLUMNS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events.parquet as a stream of JSON envelopes, parsed and routed as live messages are."""
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+def _envelopes(events: DataFrame, quotes: bool = False) -> DataFrame:
+    """Events as JSON envelopes (column value) of trades or quotes. JSON keys that differ by case only are put in as text."""
     k, ms = F.regexp_extract("props", "([0-9]+)", 1).cast("int"), market.epoch_millis("ts")
-    body = F.struct(
-        F.lit("aggTrade").alias("e"), F.upper("event_type").alias("s"), F.col("event_id").alias("a"), F.col("value").cast("string").alias("p"),
-        (k + 1).cast("string").alias("q"), ms.alias("T"), (ms + k % 10).alias("event_ms"), (F.col("user_id") % 2 == 0).alias("m"),
-    )
-    text = F.regexp_replace(F.to_json(F.struct(body.alias("data"))), '"event_ms"', '"E"')
-    return market.route_trades(market.parse_envelopes(rows.select(text.alias("value"))))
+    if quotes:
+        body = F.struct(
+            F.lit("bookTicker").alias("e"), F.upper("event_type").alias("s"), ms.alias("event_ms"), F.col("value").cast("string").alias("b"), (k + 1).cast("string").alias("bid_qty"),
+            (F.col("value") + (k + 1) / 100).cast("string").alias("a"), (F.col("user_id") % 50 + 1).cast("string").alias("ask_qty"),
+        )
+    else:
+        body = F.struct(
+            F.lit("aggTrade").alias("e"), F.upper("event_type").alias("s"), F.col("event_id").alias("a"), F.col("value").cast("string").alias("p"),
+            (k + 1).cast("string").alias("q"), ms.alias("T"), (ms + k % 10).alias("event_ms"), (F.col("user_id") % 2 == 0).alias("m"),
+        )
+    text = F.to_json(F.struct(body.alias("data")))
+    for name, key in (("event_ms", "E"), ("bid_qty", "B"), ("ask_qty", "A")):
+        text = F.regexp_replace(text, f'"{name}"', f'"{key}"')
+    return events.select(text.alias("value"))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    """events.parquet as a stream of envelopes, parsed and routed as live messages are."""
+    found = market.parse_envelopes(_envelopes(spark.readStream.schema(EVENT_COLUMNS).parquet(f"{sf_dir}/event[s].parquet"), quotes))
+    return market.route_tickers(found) if quotes else market.route_trades(found)
 
 
 def _drained(spark: SparkSession, rows: DataFrame, name: str, keep) -> DataFrame:
@@ -428,25 +611,63 @@ def _drained(spark: SparkSession, rows: DataFrame, name: str, keep) -> DataFrame
     return spark.read.parquet(f"{path}/table")
 
 
+def _valid_stream(spark, sf_dir):
+    return clean.derive_trades(clean.validate_trades(_event_stream(spark, sf_dir)))
+
+
 @query("stream_bars", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars("1h")) + "SELECT * FROM bars")
 def _(spark, sf_dir):
-    trades = clean.derive_trades(clean.validate_trades(_event_stream(spark, sf_dir)))
-    return _drained(spark, live.live_bars(trades, "1h"), "stream-bars", live.keep_table)
+    return _drained(spark, live.live_bars(_valid_stream(spark, sf_dir), "1h", WHOLE), "stream-bars", live.upsert_bars)
+
+
+@query("stream_spreads", SPREAD_SPEC, _with(EVENTS, TICKERS, "ck AS (SELECT *, event_time AS event_datetime, best_ask_price - best_bid_price AS spread, (best_bid_price + best_ask_price) / 2 AS mid_price FROM tk)", _spreads("1h")) + "SELECT * FROM sp")
+def _(spark, sf_dir):
+    quotes = clean.derive_tickers(clean.validate_tickers(_event_stream(spark, sf_dir, quotes=True)))
+    return _drained(spark, live.live_spreads(quotes, "1h", WHOLE), "stream-spreads", live.upsert_bars)
+
+
+@query("stream_features", "symbol window_start:t close:d vwap:d log_return:d rolling_volatility:d realized_volatility:d momentum:d momentum_pct:d buy_sell_ratio:d return_autocorr:d", HOURLY + "SELECT * FROM f4")
+def _(spark, sf_dir):
+    path = scratch(spark, "stream-bars-of-features")
+    found = live.live_bars(_valid_stream(spark, sf_dir), "1h", WHOLE)
+    return _drained(spark, found, "stream-features", lambda rows, table, state: live.upsert_features(rows, path, table, state))
 
 
 @query("stream_dedup", "symbol agg_trade_id:i price:d quantity:d trade_time:i side", CLEAN + "SELECT * FROM ct")
 def _(spark, sf_dir):
     both = _event_stream(spark, sf_dir)
-    trades = live.live_trades(both.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), "60 days")
+    trades = live.live_trades(both.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), WHOLE)
     return _drained(spark, trades, "stream-dedup", lambda rows, path, state: live.write_raw(rows, path, state, None))
 
 
+@query("stream_quotes", "symbol date event_time:i", CLEAN + "SELECT * FROM ck")
+def _(spark, sf_dir):
+    """The keys of the quotes that the stream's deduplication keeps: which of several quotes of one millisecond stays is open on a stream."""
+    both = _event_stream(spark, sf_dir, quotes=True).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    rows = _drained(spark, live.live_tickers(both, WHOLE), "stream-quotes", lambda rows, path, state: live.write_raw(rows, path, state, None))
+    return rows.withColumn("date", F.col("date").cast("string"))
+
+
+# every eleventh quantity is no JSON, every seventh an event of another kind, every fifth a quote
+@query("message_counts", "kind messages:i", RAW + "SELECT CASE WHEN CAST(quantity AS INTEGER) % 11 = 0 THEN 'malformed' WHEN CAST(quantity AS INTEGER) % 7 = 0 THEN 'unknown' WHEN CAST(quantity AS INTEGER) % 5 = 0 THEN 'ticker' ELSE 'trade' END AS kind, count(*) AS messages FROM tr GROUP BY 1")
+def _(spark, sf_dir):
+    q = F.regexp_extract("value", '"q":"([0-9]+)"', 1).cast("int")
+    lines = _envelopes(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    text = F.when(q % 11 == 0, F.concat(F.lit("#"), "value")).when(q % 7 == 0, F.regexp_replace("value", "aggTrade", "heartbeat")).when(q % 5 == 0, F.lit('{"s":"X","b":"1","a":"2"}')).otherwise(F.col("value"))
+    return market.classify(lines.select(text.alias("value"))).groupBy("kind").agg(F.count("*").alias("messages"))
+
+
 @query("stream_event_rate", "window_start:t events:i rate:d", CLEAN + "SELECT w AS window_start, count(*) AS events, count(*) / 10.0 AS rate FROM (SELECT unnest(range(trade_time // 1000 * 1000 - 9000, trade_time // 1000 * 1000 + 1000, 1000)) AS w FROM ct) GROUP BY 1")
 def _(spark, sf_dir):
-    return live.event_rate(clean_trades(spark, sf_dir))
+    found = live.event_rate(_valid_stream(spark, sf_dir), watermark=WHOLE)
+    return _drained(spark, found, "stream-rate", lambda rows, path, state: live.upsert_rows(rows, path, state, ["window_start"]))
+
+
+SESSIONS = CLEAN + """SELECT symbol, min(trade_time) AS session_start, max(trade_time) + 300000 AS session_end, count(*) AS events FROM
+  (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY trade_time, agg_trade_id) AS s FROM (SELECT *, CASE WHEN trade_time - lag(trade_time) OVER (PARTITION BY symbol ORDER BY trade_time, agg_trade_id) < 300000 THEN 0 ELSE 1 END AS fresh FROM ct)) GROUP BY symbol, s"""
+query("sessions", "symbol session_start:t session_end:t events:i", SESSIONS)(lambda s, d: live.sessions(clean_trades(s, d)))
 
 
-@query("sessions", "symbol session_start:t session_end:t events:i", CLEAN + """SELECT symbol, min(trade_time) AS session_start, max(trade_time) + 300000 AS session_end, count(*) AS events FROM
-  (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY trade_time, agg_trade_id) AS s FROM (SELECT *, CASE WHEN trade_time - lag(trade_time) OVER (PARTITION BY symbol ORDER BY trade_time, agg_trade_id) < 300000 THEN 0 ELSE 1 END AS fresh FROM ct)) GROUP BY symbol, s""")
+@query("stream_sessions", "symbol session_start:t session_end:t events:i", SESSIONS)
 def _(spark, sf_dir):
-    return live.sessions(clean_trades(spark, sf_dir))
+    return _drained(spark, live.sessions(_valid_stream(spark, sf_dir), watermark=WHOLE), "stream-sessions", live.keep_table)

@@ -21,19 +21,23 @@ def epoch_millis(ntz: str) -> Column:
 
 def scan_day(spark: SparkSession, path: str, date: str) -> DataFrame:
     """One day of a raw table laid out by date and symbol: the filter prunes partitions."""
-    return spark.read.parquet(path).filter(F.col("date") == date)
+    return spark.read.parquet(path).filter(F.col("date") == date).withColumn("date", F.col("date").cast("string"))
 
 
 # --- the driver's event table as trades and quotes -------------------------------------------------
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, date: str | None) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", k).withColumn("ms", epoch_millis("ts"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if date:
+        # a range of the column itself, so that it reaches the scan
+        events = events.filter(f"ts >= timestamp_ntz'{date}' and ts < timestamp_ntz'{date}' + interval 1 day")
+    return events.withColumn("k", k).withColumn("ms", epoch_millis("ts"))
 
 
-def trades_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(
+def trades_of_events(spark: SparkSession, sf_dir: str, date: str | None = None) -> DataFrame:
+    return _events(spark, sf_dir, date).select(
         F.upper("event_type").alias("symbol"),
         day_of("ms").alias("date"),
         F.col("ms").alias("trade_time"),
@@ -47,9 +51,9 @@ def trades_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tickers_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tickers_of_events(spark: SparkSession, sf_dir: str, date: str | None = None) -> DataFrame:
     ask = F.col("value") + (F.col("k") + 1) / 100
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, date).select(
         F.upper("event_type").alias("symbol"),
         day_of("ms").alias("date"),
         F.col("ms").alias("event_time"),
@@ -66,19 +70,30 @@ def tickers_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- JSON envelopes --------------------------------------------------------------------------------
 
 
-def parse_envelopes(raw: DataFrame, now_ms: Column | None = None) -> DataFrame:
-    """Rows of JSON text (column value) as kind, fields: malformed or unknown messages are dropped.
+KINDS = ("trade", "ticker", "unknown", "malformed")
+
+
+def classify(raw: DataFrame) -> DataFrame:
+    """Rows of JSON text (column value) as kind, one of KINDS, and body.
 
     The body is `data`, or the message itself. Its keys differ only by case, so
-    it is read as a map of strings. A body without `e` that has `b` and `a` is a quote.
+    it is read as a map of strings. A body without `e` that has `b` and `a` is a quote. Null is malformed.
     """
     root = F.from_json("value", "map<string,string>")
     body = F.coalesce(F.from_json(F.element_at("root", "data"), "map<string,string>"), F.col("root"))
-    kind = F.element_at("body", "e")
-    named = F.when(kind == "aggTrade", "trade").when(
-        (kind == "bookTicker") | (kind.isNull() & F.element_at("body", "b").isNotNull() & F.element_at("body", "a").isNotNull()), "ticker"
+    event = F.element_at("body", "e")
+    kind = (
+        F.when(F.col("root").isNull(), "malformed")
+        .when(event == "aggTrade", "trade")
+        .when((event == "bookTicker") | (event.isNull() & F.element_at("body", "b").isNotNull() & F.element_at("body", "a").isNotNull()), "ticker")
+        .otherwise("unknown")
     )
-    return raw.withColumn("root", root).filter("root is not null").withColumn("body", body).withColumn("kind", named).filter("kind is not null").select("kind", "body")
+    return raw.withColumn("root", root).withColumn("body", body).withColumn("kind", kind).select("kind", "body")
+
+
+def parse_envelopes(raw: DataFrame) -> DataFrame:
+    """classify() without the malformed and unknown messages, which are dropped."""
+    return classify(raw).filter("kind in ('trade', 'ticker')")
 
 
 def _field(name: str, kind: str) -> Column:
@@ -122,33 +137,65 @@ def route_tickers(messages: DataFrame) -> DataFrame:
 
 # --- synthetic walks -------------------------------------------------------------------------------
 
+# Where the walks begin (2024-06-10 12:00 UTC), their rows, steps and spreads.
 START_MS = 1_718_020_800_000
+TRADE_ROWS, TRADE_STEP_MS, TRADE_SIGMA, TRADE_SEED = 200, 3000, 2e-4, 42
+TICKER_ROWS, TICKER_STEP_MS, TICKER_SIGMA, TICKER_SEED = 300, 2000, 1e-4, 99
+SPREAD_LOW, SPREAD_HIGH = 0.5, 5.0
 
 
-def synthetic_trades(spark: SparkSession, symbols: dict[str, float], rows: int = 200, step_ms: int = 3000, sigma: float = 2e-4, seed: int = 42) -> DataFrame:
-    """Seeded log-price walks, `rows` trades a symbol: a row's price is its own noise summed along the symbol."""
+def _uniform(name: str) -> Column:
+    """A number from 0 up to 1 by the hash of seed, symbol, row and a name: the same however the rows are partitioned."""
+    digits = F.substring(F.md5(F.concat_ws("/", "seed", "symbol", "i", F.lit(name)).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+
+
+def _walk(spark: SparkSession, symbols: dict[str, float], rows: int, sigma: float, seed: int) -> DataFrame:
+    """(id, i, symbol, price): log-price walks; a row's price is its own noise, about normal, summed along the symbol."""
     from pyspark.sql import Window
 
-    base = spark.range(rows * len(symbols)).withColumn("i", F.col("id") % rows)
-    names = F.array(*[F.lit(s) for s in symbols])
-    prices = F.array(*[F.lit(float(p)) for p in symbols.values()])
+    names, prices = F.array(*[F.lit(s) for s in symbols]), F.array(*[F.lit(float(p)) for p in symbols.values()])
     place = (F.floor(F.col("id") / rows) + 1).cast("int")
-    walk = F.sum(F.randn(seed) * sigma).over(Window.partitionBy("symbol").orderBy("i"))
+    base = spark.range(rows * len(symbols)).withColumns({"i": F.col("id") % rows, "symbol": F.element_at(names, place), "base": F.element_at(prices, place), "seed": F.lit(seed)})
+    noise = (sum((_uniform(f"step{j}") for j in range(1, 4)), _uniform("step0")) - 2.0) * 3**0.5 * sigma
+    return base.withColumn("price", F.col("base") * F.exp(F.sum(noise).over(Window.partitionBy("symbol").orderBy("i"))))
+
+
+def synthetic_trades(spark: SparkSession, symbols: dict[str, float], rows: int = TRADE_ROWS, step_ms: int = TRADE_STEP_MS, sigma: float = TRADE_SIGMA, seed: int = TRADE_SEED) -> DataFrame:
+    """Seeded walks, `rows` trades a symbol."""
     time = F.lit(START_MS) + F.col("i") * step_ms
-    return base.withColumn("symbol", F.element_at(names, place)).select(
+    return _walk(spark, symbols, rows, sigma, seed).select(
         "symbol",
         day_of(time).alias("date"),
         time.alias("trade_time"),
         (time + 2).alias("event_time"),
         F.col("id").alias("agg_trade_id"),
-        F.round(F.element_at(prices, place) * F.exp(walk), 2).alias("price"),
-        F.round(F.rand(seed) * 1.999 + 0.001, 6).alias("quantity"),
-        (F.rand(seed + 1) < 0.5).alias("is_buyer_maker"),
+        F.round("price", 2).alias("price"),
+        F.round(_uniform("quantity") * 1.999 + 0.001, 6).alias("quantity"),
+        (_uniform("side") < 0.5).alias("is_buyer_maker"),
         F.concat(F.lit("demo-"), F.col("id").cast("string")).alias("trace_id"),
         F.timestamp_millis(time + 10).alias("ingestion_ts"),
     )
 
 
+def synthetic_tickers(spark: SparkSession, symbols: dict[str, float], rows: int = TICKER_ROWS, step_ms: int = TICKER_STEP_MS, sigma: float = TICKER_SIGMA, seed: int = TICKER_SEED) -> DataFrame:
+    """Seeded walks of the middle price, `rows` quotes a symbol, with even spreads and sizes."""
+    time = F.lit(START_MS) + F.col("i") * step_ms
+    spread = _uniform("spread") * (SPREAD_HIGH - SPREAD_LOW) + SPREAD_LOW
+    return _walk(spark, symbols, rows, sigma, seed).select(
+        "symbol",
+        day_of(time).alias("date"),
+        time.alias("event_time"),
+        F.round(F.col("price") - spread / 2, 2).alias("best_bid_price"),
+        F.round(_uniform("bid") * 9.5 + 0.5, 4).alias("best_bid_qty"),
+        F.round(F.col("price") + spread / 2, 2).alias("best_ask_price"),
+        F.round(_uniform("ask") * 9.5 + 0.5, 4).alias("best_ask_qty"),
+        F.round(spread, 4).alias("spread"),
+        F.concat_ws("-", F.lit("quote"), "symbol", F.col("i").cast("string")).alias("trace_id"),
+        F.timestamp_millis(time).alias("ingestion_ts"),
+    )
+
+
 # --- point lookups ---------------------------------------------------------------------------------
 
 
