@@ -78,5 +78,5 @@ def spreads(tickers: DataFrame, label: str) -> DataFrame:
             F.avg("best_ask_qty").alias("ask_qty_mean"),
         )
         .select("symbol", "spread_mean", "spread_min", "spread_max", "spread_std", "mid_price_mean", "tick_count",
-                "bid_qty_mean", "ask_qty_mean", F.col("w.start").alias("window_start"), F.lit(label).alias("window_label"))
+                "bid_qty_mean", "ask_qty_mean", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.lit(label).alias("window_label"))
     )

@@ -53,9 +53,11 @@ def untraced(features: DataFrame, raw: DataFrame) -> DataFrame:
     return features.join(raw.select("trace_id"), "trace_id", "left_anti")
 
 
+UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+
+
 def invalid_uuid4(df: DataFrame, column: str = "trace_id") -> DataFrame:
-    rule = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-    return df.filter(F.col(column).isNull() | ~F.lower(column).rlike(rule))
+    return df.filter(F.col(column).isNull() | ~F.lower(column).rlike(UUID4))
 
 
 def expired(df: DataFrame, now: F.Column, days: int = 7) -> DataFrame:

@@ -519,6 +519,14 @@ def _(spark, sf_dir):
     return _dropped(spark, path, name).select(storage.FEATURE_TABLE)
 
 
+@query("spread_table", "symbol window_label window_start:t window_end:t spread_mean:d spread_min:d spread_max:d spread_std:d spread_mean_pct:d mid_price_mean:d tick_count:i bid_qty_mean:d ask_qty_mean:d obi:d",
+       HOURLY + "SELECT sx.*, bid_qty_mean, ask_qty_mean, window_start + 3600000 AS window_end FROM sx JOIN (SELECT symbol, window_label, window_start, bid_qty_mean, ask_qty_mean FROM sp) USING (symbol, window_label, window_start)")
+def _(spark, sf_dir):
+    path = scratch(spark, "spreads")
+    storage.upsert(storage.spread_rows(hourly_spread(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
 @query("upsert_bars", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars("1h")) + "SELECT * REPLACE (CASE WHEN trade_count % 2 = 0 THEN -close ELSE close END AS close) FROM bars")
 def _(spark, sf_dir):
     """All bars written, then those of an even count of trades again with another close: the others of the same days stay."""
@@ -657,6 +665,16 @@ def _(spark, sf_dir):
     return market.classify(lines.select(text.alias("value"))).groupBy("kind").agg(F.count("*").alias("messages"))
 
 
+@query("routed_ids", "routed:i ids:i invalid:i unstamped:i", RAW + "SELECT count(*) AS routed, count(*) AS ids, 0 AS invalid, count(*) FILTER (trade_time IS NULL) AS unstamped FROM tr")
+def _(spark, sf_dir):
+    """Every routed message has a UUID of its own and an arrival."""
+    path = scratch(spark, "routed")
+    market.route_trades(market.parse_envelopes(_envelopes(spark.read.parquet(f"{sf_dir}/events.parquet")))).write.parquet(path)
+    rows = spark.read.parquet(path)
+    valid = F.col("trace_id").rlike(checks.UUID4)
+    return rows.agg(F.count("*").alias("routed"), F.count_distinct("trace_id").alias("ids"), F.count_if(~valid | F.col("trace_id").isNull()).alias("invalid"), F.count_if(F.col("ingestion_ts").isNull()).alias("unstamped"))
+
+
 @query("stream_event_rate", "window_start:t events:i rate:d", CLEAN + "SELECT w AS window_start, count(*) AS events, count(*) / 10.0 AS rate FROM (SELECT unnest(range(trade_time // 1000 * 1000 - 9000, trade_time // 1000 * 1000 + 1000, 1000)) AS w FROM ct) GROUP BY 1")
 def _(spark, sf_dir):
     found = live.event_rate(_valid_stream(spark, sf_dir), watermark=WHOLE)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import features as fx
 from tidemark.operators import clean
 from tidemark.session import scratch
 
@@ -139,10 +140,18 @@ def touched(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
     return found.withColumn("date", F.col("date").cast("string"))
 
 
+def table_rows(df: DataFrame, table: str) -> DataFrame:
+    """The persisted columns of a published table, those that df lacks as null; rows without a window are left out."""
+    return with_defaults(df, dict(column.split() for column in TABLES[table].split(", "))).dropna(subset=["window_start"])
+
+
 def feature_rows(features: DataFrame) -> DataFrame:
-    """The 28 persisted columns of a feature frame, those it lacks as null; rows without a window are left out."""
-    kinds = dict(column.split() for column in TABLES["features_by_window"].split(", "))
-    return with_defaults(features, kinds).dropna(subset=["window_start"])
+    return table_rows(features, "features_by_window")
+
+
+def spread_rows(spread: DataFrame) -> DataFrame:
+    """Spreads as persisted, with their share of the middle price and the imbalance."""
+    return table_rows(spread.transform(fx.add_spread_pct).transform(fx.add_obi), "spread_timeseries")
 
 
 # --- reads -----------------------------------------------------------------------------------------
