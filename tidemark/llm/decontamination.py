@@ -139,7 +139,7 @@ def gram_frequencies(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["at", "n"])
 
-    found = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(textops.released(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
     out = np.zeros(len(wanted), np.int64)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
@@ -291,7 +291,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        out.add(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out.add(docs.select("doc_id", "text").mapInArrow(textops.released(run), schema))
     return out.table()
 
 
@@ -311,5 +311,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
                 digests = [hashlib.sha256(batch.column("text")[row].as_buffer()).hexdigest() for row in found]
                 yield pa.RecordBatch.from_arrays([batch.column("hash").take(pa.array(found, pa.int64())), pa.array(digests, pa.string())], ["hash", "digest"])
 
-        named.add(docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "hash long, digest string"))
+        named.add(docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(textops.released(run), "hash long, digest string"))
     return tables.without(docs, F.xxhash64("text"), F.sha2("text", 256), named.table())

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import tables
+from tidemark.llm import tables, textops
 
 COSINE = 0.98
 #: Bound of the vectors that the lists and codes are fitted on.
@@ -156,7 +156,7 @@ def prepared(embeddings: DataFrame) -> DataFrame:
             )
 
     schema = tables.schema_with(embeddings, ["vec_id"], "label string, dims int, raw binary")
-    rows = embeddings.select("vec_id", "embedding", "label").mapInArrow(run, schema)
+    rows = embeddings.select("vec_id", "embedding", "label").mapInArrow(textops.released(run), schema)
     return rows.withColumn("digest", F.unhex(F.sha2("raw", 256)))
 
 
@@ -188,7 +188,7 @@ def _coded(valid: DataFrame, models, reach: float, exact: bool) -> DataFrame:
                     )
 
     schema = "uid long, label string, dims int, raw binary, weight long, home int, codes binary, error double, probes array<int>"
-    return valid.select("uid", "label", "dims", "raw", "weight").mapInArrow(run, schema)
+    return valid.select("uid", "label", "dims", "raw", "weight").mapInArrow(textops.released(run), schema)
 
 
 def _searched(coded: DataFrame, models, cosine: float, reach: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tidemark.llm import tables
+from tidemark.llm import tables, textops
 
 
 def fold(modulus: int) -> Column:
@@ -63,7 +63,7 @@ def features_of(texts: DataFrame, keep: list[str], features: Callable[[pa.Array]
             x = features(batch.column("text")).astype(np.float32)
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema.fields[:-1]], pa.array([r.tobytes() for r in x], pa.binary())], schema.names)
 
-    got = texts.select(*schema.names[:-1], "text").mapInArrow(run, schema).toArrow()
+    got = texts.select(*schema.names[:-1], "text").mapInArrow(textops.released(run), schema).toArrow()
     parts = [np.frombuffer(value.as_buffer(), np.float32) for value in got.column("_x")]
     x = np.stack(parts) if parts else np.zeros((0, 0), np.float32)
     return got.drop_columns("_x"), x
@@ -78,4 +78,4 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], column: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column("text")), pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textops.released(run), schema)

@@ -93,7 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(textops.released(run), schema)
 
 
 def frequency_levels(scanned: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def frequency_levels(scanned: DataFrame) -> np.ndarray:
     tasks = max(64, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(1 << (CELL_BITS - 1), np.uint8)
     width = 1 << (low_bits - 1)
-    for row in parts.repartition(tasks, "part").mapInArrow(levels, "part int, cells binary").toLocalIterator():
+    for row in parts.repartition(tasks, "part").mapInArrow(textops.released(levels), "part int, cells binary").toLocalIterator():
         out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["cells"], np.uint8)
     return out
 
@@ -188,7 +188,7 @@ def postings(docs: DataFrame, levels, percent: int, buckets: int, long_parts: in
         if count:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, blob binary")
+    return docs.select("text").mapInArrow(textops.released(run), "bucket long, blob binary")
 
 
 def shared_lists(packed: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
                     [pa.array(nodes, pa.int64()), batch.column("text").take(pa.array(rows, pa.int64()))], ["node", "text"]
                 )
 
-    found = docs.select("text").mapInArrow(run, "node long, text string")
+    found = docs.select("text").mapInArrow(textops.released(run), "node long, text string")
     return found.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -280,7 +280,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return tables.written(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
+    return tables.written(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(textops.released(run), "a long, b long"), "links")
 
 
 def _asked(own: tuple[str, str, str], other: tuple[str, str, str], percent: int) -> str:
@@ -479,4 +479,4 @@ def with_node(docs: DataFrame, name: str) -> DataFrame:
                 node[row] = textops.set_key(found) if len(found) else None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textops.released(run), schema)

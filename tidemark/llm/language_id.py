@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(unclear)], schema.names)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = docs.mapInArrow(run, schema)
+    found = docs.mapInArrow(textops.released(run), schema)
     return found.withColumns(
         {
             "lang_pred": F.when(letters, F.col("lang_pred")).otherwise("und"),

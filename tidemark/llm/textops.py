@@ -7,7 +7,8 @@ the chunk (or the single longest text), not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,29 @@ _K = np.uint64(0xD6E8FEB86659FD93)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives freed memory back to the machine after each of them, as idle Python workers would hold on to it."""
+
+    def trimmed(batches):
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                _release()
+        finally:
+            _release()
+
+    return trimmed
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over every output bit."""
     x = np.array(x, dtype=np.uint64, copy=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm import tables
+from tidemark.llm import tables, textops
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token rule published with that vocabulary.
@@ -216,4 +216,4 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 settle()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pre), pa.array(tokens)], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(textops.released(run), schema)

@@ -103,7 +103,7 @@ def choose_words(sample: DataFrame, rows: int, toxic: int, most: int = MOST_WORD
                 on = np.bincount(at, weights=is_toxic[first + of[fresh]], minlength=len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(on)], ["word", "n", "a"])
 
-    counts = sample.select("toxic", "text").mapInArrow(run, "word long, n long, a long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    counts = sample.select("toxic", "text").mapInArrow(textops.released(run), "word long, n long, a long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
     telling = counts.filter(F.col("n") >= LEAST_ROWS).withColumn("gain", gain(F.col("n"), F.col("a"), float(rows), float(toxic))).filter(F.col("gain") >= LEAST_GAIN)
     # unsigned order: ties go to the smaller hash
     best = telling.orderBy(F.desc("gain"), (F.col("word") < 0), "word").limit(most).select("word").toArrow()
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED, penalty: f
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(sets, pa.binary())], ["doc_id", "toxic", "words"])
 
     # a row's features are at most two bytes for each of the keys
-    got = sample.mapInArrow(run, tables.schema_with(sample, ["doc_id", "toxic"], "words binary")).toArrow()
+    got = sample.mapInArrow(textops.released(run), tables.schema_with(sample, ["doc_id", "toxic"], "words binary")).toArrow()
     order = fitting.order_of(got.column("doc_id").to_pylist())
     toxic = np.array(got.column("toxic").to_pylist(), np.int64)[order]
     x = np.zeros((len(order), len(keys)))
