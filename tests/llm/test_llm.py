@@ -766,3 +766,45 @@ def test_pipeline_stages_keep_clean_documents(spark):
     assert decontamination.leaks(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     final = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in final.collect()} <= set(texts) and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "decontamination", "mixing", "sharding"]
+
+
+CLASH = ("score", "key", "hash", "digest", "size", "row", "of", "order", "node", "ident", "n", "_cell", "_named", "_digest", "source_size", "copies")
+
+
+def edge_tables(spark, folder, docs):
+    """A folder of tables with these documents."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "seven words of a benchmark item here"), (2, None), (3, ""), (None, "x")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_stages_with_edge_rows_and_clashing_columns(spark):
+    folder = f"{tables.shared_folder(spark)}/edge-{tables.fresh()}"
+    texts = [*EDGE, *[f"plain words of text number {i} that say this and that and {i * i} more" for i in range(30)], "so here are seven words of a benchmark item here and on", *["tie tie tie tie tie tie"] * 3]
+    docs = docs_of(spark, texts, sources=["a", None, "b"])
+    docs = docs.unionByName(docs.filter("doc_id in (0, 12, 13)")).unionByName(docs.filter("doc_id = 15").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.withColumns({c: F.lit("mine") for c in CLASH}).withColumn("lang", F.lit(None).cast("string"))
+    edge_tables(spark, folder, docs)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert all(r.score == "mine" and r.n == "mine" for r in out.collect())
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    texts_of = lambda df: Counter(r.text for r in df.collect())
+    kept = texts_of(stages["near_copies"](spark, docs, folder))
+    assert kept["tie tie tie tie tie tie"] == 1 and kept[None] == 2 and kept[""] == kept["."] == 1 and max(kept[t] for t in texts if t) == 1
+    clean = texts_of(stages["decontamination"](spark, docs, folder))
+    assert texts_of(docs) - clean == Counter(["so here are seven words of a benchmark item here and on"]) and clean[None] == 2
+    mixed = texts_of(stages["mixing"](spark, docs, folder))
+    assert mixed[None] == 2 and mixed[""] == 1
+    placed = stages["sharding"](spark, docs, folder).collect()
+    assert len(placed) == docs.count()
+    final = corpus_pipeline.run(spark, folder)
+    assert final.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and final.count() >= 0
+
+
+def test_pipeline_of_an_empty_table(spark):
+    folder = f"{tables.shared_folder(spark)}/empty-{tables.fresh()}"
+    edge_tables(spark, folder, docs_of(spark, ["x"]).limit(0))
+    assert corpus_pipeline.run(spark, folder).count() == 0
