@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,10 +159,10 @@ def spread_rows(spread: DataFrame) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, label: str, start: str, end: str) -> DataFrame | None:
-    """The persisted bars of a resolution with start <= window_start < end (UTC), None if there is no table; both bounds prune partitions."""
+    """The persisted bars of a resolution with start <= window_start < end (ISO times in UTC), None if there is no table; both bounds prune partitions."""
     if not exists(spark, path):
         return None
-    low, high = (F.lit(x).cast("timestamp") for x in (start, end))
+    low, high = (F.timestamp_millis(F.lit(int(dt.datetime.fromisoformat(x).replace(tzinfo=dt.timezone.utc).timestamp() * 1000))) for x in (start, end))
     days = F.col("date").cast("string").between(F.date_format(low, "yyyy-MM-dd"), F.date_format(high, "yyyy-MM-dd"))
     return spark.read.parquet(path).filter((F.col("window_label") == label) & days & (F.col("window_start") >= low) & (F.col("window_start") < high)).drop("date")
 
