@@ -237,6 +237,8 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     held = words.toArrow()
     bitmap[held.column("word").to_numpy()] = held.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    del bitmap, held
+    textops.release()
 
     def run(batches):
         have, seen = shared.value.view(np.uint64), set()
@@ -411,6 +413,7 @@ def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFr
     """(node, component) of nodes linked with another node; `scanned` is a written scan()."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(scanned))
+    textops.release()
     total, sets = scanned.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("node")).first()
     buckets = max(64, int(total * (101 - percent) / 100 // 200_000))
     lists = tables.written(shared_lists(postings(docs, levels, percent, buckets, max(64, sets // LONG_PART))), "lists")

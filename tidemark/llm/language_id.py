@@ -96,6 +96,8 @@ def fit(rows: DataFrame, most: int = MOST_LEARNED) -> Model | None:
     w = fitting.adam(np.zeros((BUCKETS + 1, code.shape[1])), gradient(x, aim, weight), STEPS, RATE)
     right = (((x @ w[:-1] + w[-1]) * aim > 0) * weight[:, None]).sum(0)
     trust = np.clip(np.log((right + 1e-3) / (1 - right + 1e-3)), 0.05, None)
+    del x, got
+    textops.release()
     return Model(languages, code, w[:-1], w[-1], trust / trust.sum() * code.shape[1])
 
 

@@ -169,7 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
         return Model(np.append(np.zeros(CLASSES * CLASSES + EXTRA), np.log(prior / (1 - prior))), prior)
     if not counts.get(0):
         prior = class_prior(x[:first], x[first:])
-    return Model(fit_rows(x[:first], x[first:], prior), prior)
+    model = Model(fit_rows(x[:first], x[first:], prior), prior)
+    del x, got
+    textops.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -29,14 +29,15 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
             for out in run(batches):
                 yield out
                 del out
-                _release()
+                release()
         finally:
-            _release()
+            release()
 
     return trimmed
 
 
-def _release() -> None:
+def release() -> None:
+    """Gives memory that this process has freed back to the machine."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -148,6 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED, penalty: f
         x[row, np.frombuffer(got.column("words")[int(i)].as_buffer(), np.uint16)] = 1
     weight = np.where(toxic == 1, counts[1] / total / max(1, (toxic == 1).sum()), counts[0] / total / max(1, (toxic == 0).sum()))
     w = fitting.adam(np.zeros(len(keys) + 1), gradient(x, toxic, weight, swaps(x, [np.searchsorted(keys, kind) for kind in terms]), penalty), STEPS, RATE)
+    del x, got
+    textops.release()
     return Model(keys, w[:-1], float(w[-1]))
 
 
