@@ -483,3 +483,19 @@ def with_node(docs: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], schema.names)
 
     return docs.mapInArrow(textops.released(run), schema)
+
+
+#: The same in SQL, over a table documents (doc_id, text) of distinct ids.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM w),
+g AS (SELECT doc_id, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS gram FROM u
+      WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY i = 1 OR i <= n - 4),
+d AS (SELECT DISTINCT doc_id, gram FROM g),
+s AS (SELECT doc_id, count(gram) AS n_shingles FROM documents LEFT JOIN d USING (doc_id) GROUP BY doc_id),
+b AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS both_ FROM d x JOIN d y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM b JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE 100 * both_ >= 75 * (sx.n_shingles + sy.n_shingles - both_)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.root = l.x)
+SELECT doc_id, any_value(n_shingles) AS n_shingles, min(root) AS component_id FROM r JOIN s USING (doc_id) GROUP BY doc_id
+"""

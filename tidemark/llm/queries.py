@@ -98,4 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op5_ngram_jaccard_join": jaccard_join.SQL, "op7_sharding": sharding.SQL, "op10_warc": warc.SQL,
+}

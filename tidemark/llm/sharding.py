@@ -15,7 +15,7 @@ takes keys only into itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tables
@@ -56,7 +56,7 @@ def assign(key: Column, leaves: list[Leaf]) -> Column:
 
     def draw(child: Column) -> Column:
         # 52 bits of a hash as a number above 0 and below 1
-        bits = F.shiftrightunsigned(F.xxhash64(known, child["name"]), 12)
+        bits = F.conv(F.substring(F.md5(F.concat(known, F.lit("/"), child["name"]).cast("binary")), 1, 13), 16, 10)
         return -F.ln((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / child["weight"]
 
     def winner(children: Column) -> Column:
@@ -84,9 +84,9 @@ def place(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     The law is `key`: doc_id and the shard count decide, and grown_shard is the
     shard under one shard more. size is the text's UTF-8 bytes plus 16. Slots
-    count each shard's rows from 0 without gaps: equal rows are counted, their
-    counts dealt to ranges of a hash, and numbered from the range's start; the
-    rows of a count are then made anew, in runs that are tasks' work of their own,
+    count each shard's rows from 0 without gaps in the order of doc_id (null first), text_crc32 and size: equal
+    rows are counted, the counts summed range by range of that order, and the
+    rows of a count made anew, in runs that are tasks' work of their own,
     so no task holds a whole shard or all of a row's repeats. Null text counts as no bytes;
     a null doc_id is a key; doc_id keeps its type;
     repeated rows go to one shard and get a slot each; an empty table
@@ -102,16 +102,32 @@ def place(docs: DataFrame, shards: int = 40) -> DataFrame:
         assign(F.col("doc_id"), grown(leaves)).cast("int").alias("grown_shard"),
     )
     same = tables.written(slim.groupBy(*slim.columns).agg(F.count("*").alias("n")), "placed")
-    bins = max(4, same.count() // (shards * 10_000))
-    same = same.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(bins)))
-    counted = same.groupBy("shard", "bin").agg(F.sum("n").alias("rows"))
-    running = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("shard", "bin", F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    first = same.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "bin"]).withColumn("first", F.col("start") + F.col("inside"))
+    order = [F.col(c) for c in ("shard", "doc_id", "text_crc32", "size")]
+    placed = tables.written(tables.before(same, order, place=F.col("n")), "ordered")
+    # one row a shard
+    starts = placed.groupBy(F.col("shard").alias("of")).agg(F.min("place").alias("start"))
+    first = placed.join(F.broadcast(starts), F.col("shard").eqNullSafe(F.col("of"))).withColumn("first", F.col("place") - F.col("start"))
     last = F.col("first") + F.col("n") - 1
     few = first.filter(F.col("n") <= RUN).withColumn("slot", F.explode(F.sequence("first", last)))
     runs = first.filter(F.col("n") > RUN).withColumn("from", F.explode(F.sequence("first", last, F.lit(RUN).cast("long"))))
     many = runs.repartition(F.col("from")).withColumn("slot", F.explode(F.sequence("from", F.least(last, F.col("from") + RUN - 1))))
     columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     return few.select(*columns).unionByName(many.select(*columns))
+
+
+#: The same in SQL, over a table documents (doc_id, text): trees of 40 and of 41 shards, walked level by level.
+SQL = r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS entries FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i))),
+d AS (SELECT row_number() OVER () AS row_, doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, encode(coalesce(text, '')) AS raw FROM documents),
+b AS (SELECT row_, octet_length(raw) + 16 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+leaf AS (SELECT n, s AS shard, s // 5 AS rack, s // 20 AS region FROM (VALUES (40), (41)) AS t(n), range(41) AS r(s) WHERE s < n),
+node AS (SELECT n, 'region' AS kind, -1 AS above, region AS number, count(*) AS weight FROM leaf GROUP BY ALL
+         UNION ALL SELECT n, 'rack', region, rack, count(*) FROM leaf GROUP BY ALL UNION ALL SELECT n, 'shard', rack, shard, 1 FROM leaf),
+draw AS (SELECT row_, n, kind, above, number, -ln((('0x' || substr(md5(k || '/' || kind || '-' || number), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS draw FROM d, node),
+one AS (SELECT row_, n, arg_min(number, draw) AS region FROM draw WHERE kind = 'region' GROUP BY ALL),
+two AS (SELECT row_, n, arg_min(number, draw) AS rack FROM one JOIN draw USING (row_, n) WHERE kind = 'rack' AND above = region GROUP BY ALL),
+three AS (SELECT row_, n, arg_min(number, draw) AS shard FROM two JOIN draw USING (row_, n) WHERE kind = 'shard' AND above = rack GROUP BY ALL)
+SELECT doc_id, size, text_crc32, 'key' AS law, x.shard::INTEGER AS shard, row_number() OVER (PARTITION BY x.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, y.shard::INTEGER AS grown_shard
+FROM d JOIN b USING (row_) JOIN three x ON x.row_ = d.row_ AND x.n = 40 JOIN three y ON y.row_ = d.row_ AND y.n = 41
+"""
