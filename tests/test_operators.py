@@ -6,6 +6,7 @@ import math
 import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.functions import features as fx
@@ -13,7 +14,7 @@ from tidemark.operators import bars, checks, clean
 from tidemark.plans import analytics as an
 from tidemark.session import scratch
 from tidemark.sources import market, storage
-from tidemark.streaming import live
+from tidemark.streaming import live, running
 
 T0 = 1_718_017_200_000
 TRADES = "symbol string, date string, trade_time long, event_time long, agg_trade_id long, price double, quantity double, is_buyer_maker boolean, trace_id string, ingestion_ts timestamp"
@@ -340,3 +341,50 @@ def test_counters_sum_every_message_by_outcome(spark):
         assert dict(counters.totals["feed"]) == {"received": 7, "trade": 3, "ticker": 1, "unknown": 1, "malformed": 2}
     finally:
         spark.streams.removeListener(counters)
+
+
+def test_a_failing_query_is_restarted_with_growing_pauses(spark):
+    folder, pauses, starts = scratch(spark, "restart"), [], []
+    put(spark, f"{folder}/in", [line(i, 1000 * i) for i in range(3)])
+
+    def start(fail_first):
+        starts.append(1)
+        n = len(starts)
+
+        def use(batch, _):
+            if n <= fail_first:
+                raise ValueError("a fault of the sink")
+            batch.select("agg_trade_id").write.mode("append").parquet(f"{folder}/out{fail_first}")
+
+        return live.each_batch(derived(spark, f"{folder}/in"), f"{folder}/state{fail_first}", use, "append")
+
+    assert running.kept_running(lambda: start(3), pause=pauses.append) == 3 and pauses == [2.0, 4.0, 8.0]
+    assert spark.read.parquet(f"{folder}/out3").count() == 3
+    pauses.clear(), starts.clear()
+    with pytest.raises(StreamingQueryException):
+        running.kept_running(lambda: start(99), most=2, longest=3.0, pause=pauses.append)
+    assert pauses == [2.0, 3.0] and len(starts) == 3
+
+
+def test_a_periodic_job_goes_on_after_failures_and_time_limits(spark):
+    def slow():
+        spark.range(10).repartition(1).foreach(lambda _: time.sleep(3))
+
+    def bad():
+        raise ValueError("no")
+
+    jobs = iter([bad, slow, lambda: spark.range(5).count()])
+    began = time.monotonic()
+    assert list(running.every(spark, lambda: next(jobs)(), period=0.2, limit=2.0, runs=3)) == ["failed", "stopped", "ok"]
+    assert time.monotonic() - began < 25
+
+
+def test_exports_and_console_tables(spark, capsys):
+    path = scratch(spark, "export")
+    assert storage.exported(spark, path) is None
+    for rows in ([1.0, 2.0, 3.0], [5.0]):
+        storage.export(series(spark, rows), path)
+        assert sorted(r.close for r in storage.exported(spark, path).collect()) == rows
+    storage.show(series(spark, [1.0, 2.0]).select("symbol", "close"), "bars", 1)
+    printed = capsys.readouterr().out
+    assert printed.startswith("bars\n") and "|A     |1.0  |" in printed and "only showing top 1 row" in printed

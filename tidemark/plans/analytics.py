@@ -275,6 +275,14 @@ def backtest_hit_rate(signals: DataFrame) -> DataFrame:
     return found.withColumn("verdict", F.when(rate > 55, "PREDICTIVE").when(rate > 45, "NEUTRAL").otherwise("CONTRARIAN"))
 
 
+def backtest_text(summary: DataFrame) -> DataFrame:
+    """A line for each symbol and signal of backtest_summary()."""
+    line = F.format_string(
+        "%s, signal %d: %d windows, mean forward return %.8f, %.2f %% up", "symbol", "signal", "observations", F.coalesce("avg_forward_return", F.lit(0.0)), F.coalesce("hit_rate_pct", F.lit(0.0))
+    )
+    return summary.select("symbol", "signal", line.alias("text"))
+
+
 # --- exports ---------------------------------------------------------------------------------------
 
 

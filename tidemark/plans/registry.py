@@ -396,6 +396,7 @@ def backtest(spark, sf_dir):
 
 query("bt_signals", "symbol window_start:t close:d buy_sell_ratio:d log_return:d signal:i forward_return:d forward_direction:i", BT + "SELECT * FROM bt")(backtest)
 query("bt_summary", "symbol signal:i observations:i avg_forward_return:d std_forward_return:d avg_bsr:d hit_rate_pct:d", BT + f"SELECT symbol, signal, count(*) AS observations, round(avg(forward_return), 8) AS avg_forward_return, round(stddev_samp(forward_return), 8) AS std_forward_return, round(avg(buy_sell_ratio), 4) AS avg_bsr, {_hit} FROM bt GROUP BY 1, 2")(lambda s, d: an.backtest_summary(backtest(s, d)))
+query("bt_text", "symbol signal:i text", BT + f"SELECT symbol, signal, format('{{}}, signal {{}}: {{}} windows, mean forward return {{:.8f}}, {{:.2f}} % up', symbol, signal, observations, avg_forward_return, hit_rate_pct) AS text FROM (SELECT symbol, signal, count(*) AS observations, round(avg(forward_return), 8) AS avg_forward_return, {_hit} FROM bt GROUP BY 1, 2)")(lambda s, d: an.backtest_text(an.backtest_summary(backtest(s, d))))
 query("bt_hitrate", "symbol signals:i hit_rate_pct:d verdict", BT + f"SELECT *, CASE WHEN hit_rate_pct > 55 THEN 'PREDICTIVE' WHEN hit_rate_pct > 45 THEN 'NEUTRAL' ELSE 'CONTRARIAN' END AS verdict FROM (SELECT symbol, count(*) AS signals, {_hit} FROM bt WHERE signal = 1 GROUP BY 1)")(lambda s, d: an.backtest_hit_rate(backtest(s, d)))
 
 # --- lookups ---------------------------------------------------------------------------------------
@@ -536,6 +537,13 @@ def _(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("exported_spreads", "symbol window_label spread_mean:d tick_count:i", HOURLY + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_start DESC) AS rn FROM sp) WHERE rn <= 120")
+def _(spark, sf_dir):
+    path = scratch(spark, "export")
+    storage.export(an.last_rows_each(hourly_spread(spark, sf_dir), 120), path)
+    return storage.exported(spark, path)
+
+
 @query("bars_range", BAR_SPEC, _with(EVENTS, TRADES, CLEAN_TRADES, _bars("1h")) + f"SELECT * FROM bars WHERE window_start >= {DAY_MS} AND window_start < {DAY_MS + 3 * 86_400_000}")
 def _(spark, sf_dir):
     path = scratch(spark, "bars")

@@ -182,3 +182,19 @@ def documents(df: DataFrame, by: str = "symbol", order: str = "window_start") ->
 def records(df: DataFrame, most: int = 500) -> list[dict]:
     """At most `most` rows as dicts, times in ISO format."""
     return [json.loads(row) for row in df.limit(most).toJSON().collect()]
+
+
+def export(df: DataFrame, path: str) -> None:
+    """A bounded frame as JSON lines, times in ISO format, in place of what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame | None:
+    """What export() wrote, None if nothing is there."""
+    return spark.read.json(path) if exists(spark, path) else None
+
+
+def show(df: DataFrame, title: str, most: int = 20) -> None:
+    """A title and at most `most` rows as a table on the console, cells whole."""
+    print(title)
+    df.show(most, truncate=False)
