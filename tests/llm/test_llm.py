@@ -731,6 +731,29 @@ def test_toxicity_words_penalty_and_gradient_equal_plain_formulas(spark):
     assert np.allclose(toxicity.gradient(x, mark, weight, difference, 10.0)(w), slope(loss, w), atol=1e-6)
 
 
+def test_toxicity_learns_beginnings_of_words_but_not_of_identity_terms(spark):
+    rng = random.Random(1)
+    texts = [f"plain words {rng.randrange(50)} about " + (f"scumble{i}x then christians" if i % 3 == 0 else f"tables{i} then muslims") for i in range(300)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts), marks)
+    score = lambda t: float(model.score(pa.array([t]))[0])
+    assert score("a scumblefish") > 0.5 > score("a tablefish")
+    terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+    parts = np.setdiff1d(toxicity.beginning_keys(terms), np.concatenate([toxicity.word_keys(terms)]))
+    assert len(parts) > 40 and not np.isin(parts, model.keys).any()
+    assert abs(score("tea for muslims") - score("tea for christians")) < 0.1
+
+
+def test_letter_parts_equal_a_regex():
+    texts = ["Ab abcd abcde ABCDEF éé abécdefghij", "", None, "x" * 9 + " " + "x" * 8]
+    for first, data, bounds in textops.chunks(pa.array(texts, pa.string())):
+        rows, found = textops.letter_parts(data, bounds, (4, 6))
+        for r, text in enumerate(texts):
+            words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower())
+            want = len(set(words)) + sum(len({w[:k] for w in words if len(w) > k}) for k in (4, 6))
+            assert len(np.unique(found[rows == r])) == want
+
+
 @pytest.mark.parametrize("kind", ["int", "string"])
 def test_trained_operators_with_ids_of_any_type_and_empty_tables(spark, learned, kind):
     docs, labels = (df.filter("doc_id < 300").withColumn("doc_id", F.col("doc_id").cast(kind)) for df in learned)

@@ -129,6 +129,18 @@ def letter_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return rows, span_hashes(low, starts, ends)
 
 
+def letter_parts(data: np.ndarray, bounds: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word of letter_words(), and of every beginning of the given numbers of bytes of longer ones."""
+    low = lower_ascii(data)
+    rows, starts, ends = spans(((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128), bounds)
+    row_parts, hash_parts = [rows], [span_hashes(low, starts, ends)]
+    for size in prefixes:
+        longer = np.flatnonzero(ends - starts > size)
+        row_parts.append(rows[longer])
+        hash_parts.append(mix(span_hashes(low, starts[longer], starts[longer] + size) + np.uint64(size)))
+    return np.concatenate(row_parts), np.concatenate(hash_parts)
+
+
 def grams(rows: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and first word's index of each run of n words of one row."""
     if len(words) < n:

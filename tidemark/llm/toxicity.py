@@ -1,6 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Features are the presence of words in the whole text: those whose presence
+Features are the presence of words, and of beginnings of words (stems that take many
+endings), in the whole text: those whose presence
 differs most between toxic and other learning rows, and the identity terms. The
 loss is logistic, plus a penalty on the squared change of the score when the
 identity terms of a learning text are swapped for other terms, so that a neutral
@@ -32,6 +33,8 @@ IDENTITY_TERMS = (
 )
 #: Bounds of the learning sample (rows of each label) and of the features.
 MOST_LEARNED, MOST_WORDS, LEAST_ROWS, LEAST_GAIN = 6000, 1000, 4, 10.0
+#: Lengths, in bytes, of the beginnings of words that are features beside whole words.
+BEGINNINGS = (4, 6, 8)
 STEPS, RATE, DECAY, SWAP_PENALTY = 500, 0.05, 2e-5, 10.0
 
 
@@ -44,11 +47,17 @@ def word_keys(words: list[str]) -> np.ndarray:
     return out
 
 
+def beginning_keys(words: list[str]) -> np.ndarray:
+    """The hashes of all that textops.letter_parts finds in these words."""
+    found = [textops.letter_parts(data, bounds, BEGINNINGS)[1] for _, data, bounds in textops.chunks(pa.array(words, pa.string()))]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+
+
 def _presence(column: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature number of each feature word present in each text, once each; keys are sorted."""
     row_parts, feature_parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for first, data, bounds in textops.chunks(column):
-        rows, words = textops.letter_words(data, bounds)
+        rows, words = textops.letter_parts(data, bounds, BEGINNINGS)
         if not len(keys) or not len(words):
             continue
         at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
@@ -93,7 +102,7 @@ def choose_words(sample: DataFrame, rows: int, toxic: int, most: int = MOST_WORD
         for batch in batches:
             is_toxic = np.array(batch.column("toxic").to_pylist(), np.int64) == 1
             for first, data, bounds in textops.chunks(batch.column("text")):
-                of, words = textops.letter_words(data, bounds)
+                of, words = textops.letter_parts(data, bounds, BEGINNINGS)
                 order = np.lexsort((words, of))
                 of, words = of[order], words[order]
                 fresh = np.ones(len(of), bool)
@@ -130,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED, penalty: f
     if not found:
         return flat
     terms = [word_keys(list(kind)) for kind in IDENTITY_TERMS]
-    keys = np.union1d(choose_words(sample, sum(found.values()), found.get(1, 0)), np.concatenate(terms))
+    # beginnings of the terms are left out: swapping a term must swap all that tells of it
+    telling = np.setdiff1d(choose_words(sample, sum(found.values()), found.get(1, 0)), beginning_keys([t for kind in IDENTITY_TERMS for t in kind]))
+    keys = np.union1d(telling, np.concatenate(terms))
 
     def run(batches):
         for batch in batches:
