@@ -54,12 +54,12 @@ def _least_overlap(n: int, percent: int) -> int:
 def scan(docs: DataFrame) -> DataFrame:
     """What one pass over the texts gathers, in two kinds of rows.
 
-    part null: doc_id, n_shingles and node (null for an empty set) of a document.
+    part null: doc_id, a hash of the text, n_shingles and node (null for an empty set) of a document.
     Else: the lower bits, two bytes each, of the cells in one range that
     shingles of the task's documents fall in; copies within a task count once.
     """
     low_bits = CELL_BITS - RANGE_BITS
-    schema = tables.schema_with(docs, ["doc_id"], "n_shingles long, node long, part int, cells binary")
+    schema = tables.schema_with(docs, ["doc_id"], "text_hash long, n_shingles long, node long, part int, cells binary")
 
     def run(batches):
         held, count, seen, kind = [], 0, set(), pa.int64()
@@ -71,7 +71,7 @@ def scan(docs: DataFrame) -> DataFrame:
             parts = [i for i in range(1 << RANGE_BITS) if cuts[i] < cuts[i + 1]]
             blobs = [low[cuts[i] : cuts[i + 1]].tobytes() for i in parts]
             none = pa.nulls(len(parts), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), none, none, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), none, none, none, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
 
         names = schema.names
         for batch in batches:
@@ -88,12 +88,12 @@ def scan(docs: DataFrame) -> DataFrame:
                     if count > 2_000_000:
                         yield flush()
                         held, count, seen = [], 0, set()
-            ids = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64())]
+            ids = [batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64())]
             yield pa.RecordBatch.from_arrays([*ids, pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], names)
         if count:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(textops.released(run), schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(textops.released(run), schema)
 
 
 def frequency_levels(scanned: DataFrame) -> np.ndarray:
@@ -426,14 +426,17 @@ def links(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT) -> DataFr
     placed = lists.select("token", "node", "size", "match").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     lists_open = tables.written(placed.join(mixed, "token", "left_semi"), "open")
-    second = _linked_components(_open_pairs(lists_open, percent), lists_open, docs, percent)
+    pairs = tables.written(_open_pairs(lists_open, percent), "pairs")
+    if pairs.isEmpty():
+        return known
+    second = _linked_components(pairs, lists_open, docs, percent)
     joined = tables.written(components(second), "joined")
     placed = known.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
     return placed.select("node", F.coalesce("to", "component").alias("component")).unionByName(joined.join(known, "node", "left_anti"))
 
 
 def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) for every row of docs (doc_id, text, ...).
+    """(doc_id, n_shingles, node, component_id, text_hash) for every row of docs (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable by links, itself included; doc_id keeps its type.
     Null or wordless texts have an empty set and link with nothing; texts under
@@ -444,7 +447,7 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     scanned = tables.written(scan(docs), "scan")
-    prints = scanned.filter("part is null").select("doc_id", "n_shingles", "node")
+    prints = scanned.filter("part is null").select("doc_id", "text_hash", "n_shingles", "node")
     found = links(docs, scanned, percent)
     placed = tables.written(
         prints.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed"
@@ -452,7 +455,7 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # read from a table, so that adaptive execution can split a component that holds many rows
     least = tables.written(placed.filter("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "component", "left").select(
-        "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"
     )
 
 
@@ -460,29 +463,24 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without the near copies: of each class the row of its smallest doc_id.
 
     Rows without words all stay. Of repeated rows of the kept doc_id and text one stays.
-    """
-    classes = join_classes(docs, percent)
-    key, node, ident = tables.free_names(docs, "key", "node", "ident")
-    stays = F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    out = classes.filter(stays).select(F.col("doc_id").alias(ident), F.col("node").alias(node)).distinct()
-    keyed = with_node(docs, key)
-    kept = keyed.filter(F.col(key).isNotNull()).join(out, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(node)), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", key])
-    return kept.unionByName(keyed.filter(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def with_node(docs: DataFrame, name: str) -> DataFrame:
-    """docs with the set key of each text as a column of that name."""
-    schema = tables.schema_with(docs, docs.columns, f"{name} long")
-
-    def run(batches):
-        for batch in batches:
-            node = [None] * len(batch)
-            for row, found in textops.shingle_sets(batch.column("text")):
-                node[row] = textops.set_key(found) if len(found) else None
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], schema.names)
 
-    return docs.mapInArrow(textops.released(run), schema)
+    A row is known by its doc_id and a hash of its text. Rows that go are named by
+    those and taken out where they are; of a document in repeated rows all are taken out and one is put back.
+    """
+    classes = join_classes(docs, percent).filter("node is not null")
+    same = classes.groupBy("doc_id", "node", "text_hash").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id"))
+    of_text = Window.partitionBy("doc_id", "node")
+    same = same.withColumns({"rows": F.sum("n").over(of_text), "one": F.min("text_hash").over(of_text)})
+    same = tables.written(same.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))), "same")
+    name = lambda ident, hashed: F.concat_ws("/", F.coalesce(F.concat(F.lit("="), ident.cast("string")), F.lit("null")), hashed.cast("string"))
+    mark = lambda ident, hashed: F.xxhash64(name(ident, hashed))
+    ours, theirs = (F.col("doc_id"), F.xxhash64("text")), (F.col("doc_id"), F.col("text_hash"))
+    gone = same.filter("not (stays and rows = 1)").select(mark(*theirs).alias("hash"), name(*theirs).alias("digest"))
+    kept = tables.without(docs, mark(*ours), name(*ours), gone)
+    (key,) = tables.free_names(docs, "key")
+    back = tables.small(same.filter("stays and rows > 1 and text_hash = one").select(name(*theirs).alias(key)), "back")
+    again = docs.withColumn(key, name(*ours)).join(back, key, "left_semi").dropDuplicates([key]).drop(key)
+    return kept.unionByName(again)
 
 
 #: The same in SQL, over a table documents (doc_id, text) of distinct ids.
