@@ -118,11 +118,13 @@ def frequency_levels(scanned: DataFrame) -> np.ndarray:
             )
 
     parts = scanned.filter("part is not null").select("part", "cells")
-    tasks = max(64, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(16, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(1 << (CELL_BITS - 1), np.uint8)
     width = 1 << (low_bits - 1)
-    for row in parts.repartition(tasks, "part").mapInArrow(textops.released(levels), "part int, cells binary").toLocalIterator():
-        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["cells"], np.uint8)
+    # in one job: at most 2**RANGE_BITS rows, 32 MB in all
+    held = parts.repartition(tasks, "part").mapInArrow(textops.released(levels), "part int, cells binary").toArrow()
+    for part, blob in zip(held.column("part").to_pylist(), held.column("cells")):
+        out[part * width : (part + 1) * width] = np.frombuffer(blob.as_buffer(), np.uint8)
     return out
 
 
