@@ -90,16 +90,19 @@ def with_defaults(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns.items()])
 
 
-def _keyed(df: DataFrame, keys: list[str], day: str, newest: str | None) -> tuple[DataFrame, list[str]]:
+def _keyed(df: DataFrame, keys: list[str], day: str, newest: str | None, unique: bool = False) -> tuple[DataFrame, list[str]]:
     """The rows to write, one a key, with their date, and the columns that they are partitioned by."""
     rest = [c for c in df.columns if c not in keys and c != newest]
     order = [F.col(newest).desc()] if newest else []
-    rows = clean.dedup(df.dropna(subset=keys), keys, [*order, *rest] or keys)
+    rows = df.dropna(subset=keys)
+    if not unique:
+        rows = clean.dedup(rows, keys, [*order, *rest] or keys)
     return rows.withColumn("date", F.date_format(day, "yyyy-MM-dd")), [c for c in ("window_label",) if c in df.columns] + ["date"]
 
 
 def _overwrite(rows: DataFrame, path: str, parts: list[str]) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    """Replaces the partitions that rows touch, few files each: without rebalancing every task would write one to every partition."""
+    rows.hint("rebalance", *map(F.col, parts)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def replace_days(df: DataFrame, path: str, keys: list[str] | None = None, day: str = "window_start") -> None:
@@ -108,16 +111,18 @@ def replace_days(df: DataFrame, path: str, keys: list[str] | None = None, day: s
     _overwrite(rows, path, parts)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str] | None = None, day: str = "window_start", newest: str | None = None) -> None:
+def upsert(df: DataFrame, path: str, keys: list[str] | None = None, day: str = "window_start", newest: str | None = None, unique: bool = False) -> None:
     """Writes the rows of df over those of the same key and leaves all others; rows with null keys are left out.
 
+    `unique` says that df has one row a key, as an aggregation's result has.
+
     Of rows of one key that of the greatest `newest` stays, ties and without it the
     first in the order of all other columns. `day` is a time among the keys. Only the partitions of the dates
     from df's first to its last are read, and only those it touches replaced; what they will
     hold is staged first, as they are read here. Columns that either side lacks are null.
     """
     spark, keys = df.sparkSession, keys or BAR_KEY
-    rows, parts = _keyed(df, keys, day, newest)
+    rows, parts = _keyed(df, keys, day, newest, unique)
     stage = scratch(spark, "upsert")
     try:
         rows.write.parquet(f"{stage}/new")

@@ -118,8 +118,8 @@ def keep_table(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def upsert_rows(rows: DataFrame, path: str, checkpoint: str, keys: list[str], day: str = "window_start") -> StreamingQuery:
-    """Writes the rows that a micro-batch changed over those of the same key."""
-    return each_batch(rows, checkpoint, lambda batch, _: storage.upsert(batch, path, keys, day))
+    """Writes the rows that a micro-batch changed, one a key as of an aggregation, over those of the same key."""
+    return each_batch(rows, checkpoint, lambda batch, _: storage.upsert(batch, path, keys, day, unique=True))
 
 
 def upsert_bars(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -146,9 +146,9 @@ def upsert_features(rows: DataFrame, bars_path: str, path: str, checkpoint: str)
         try:
             if batch.isEmpty():
                 return
-            storage.upsert(batch, bars_path)
+            storage.upsert(batch, bars_path, unique=True)
             every_bar = spark.read.parquet(bars_path).drop("date").join(batch.select("window_label").distinct(), "window_label", "left_semi")
-            storage.upsert(changed_features(every_bar, batch), path)
+            storage.upsert(changed_features(every_bar, batch), path, unique=True)
         finally:
             batch.unpersist()
 
