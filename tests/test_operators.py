@@ -263,6 +263,25 @@ def put(spark, folder, lines):
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(folder)
 
 
+def test_latency_marks_are_exact_above_a_hundred_thousand_rows(spark):
+    n = 400_000
+    at = F.lit(T0) + F.col("id")
+    # (id * 7919) % n takes every value below n once
+    rows = spark.range(n, numPartitions=7).select(
+        F.lit("A").alias("symbol"), at.alias("trade_time"), (at + F.col("id") * 7919 % n).alias("event_time"), F.timestamp_millis(at + F.col("id") * 7919 % n + 1000).alias("ingestion_ts")
+    )
+    marks = [n // 100 * percent - 1 for percent in (50, 95, 99)]
+    assert [tuple(r) for r in an.latency(rows, exact=True).collect()] == [("A", *marks, *(m + 1000 for m in marks), n)]
+
+
+def test_latency_of_few_rows_takes_the_nearest_rank(spark):
+    rows = trades(spark, [trade(i, t=T0, late=late, symbol=symbol) for i, (symbol, late) in enumerate([("A", 50), ("A", 10), ("A", 30), ("A", 20), ("A", 40), ("B", 7)])])
+    unarrived = F.when(F.col("symbol") == "A", F.col("ingestion_ts"))
+    early = rows.withColumn("event_time", F.col("trade_time") - 1)
+    found = an.latency(rows.withColumn("ingestion_ts", unarrived).unionByName(early), exact=True)
+    assert sorted(tuple(r) for r in found.collect()) == [("A", 3, 3, 3, 30, 50, 50, 5), ("B", 3, 3, 3, None, None, None, 1)]
+
+
 def test_streamed_files_to_table_and_bars(spark):
     folder = scratch(spark, "live")
     put(spark, f"{folder}/in", [line(i, 1000 * i) for i in (0, 1, 1, 2)])
